@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from importlib import import_module
 
+#: query -> (module, name of its SQL there)
+SQL = {
+    "op8_warc": ("warc", "OP8_SQL"),
+}
 #: query -> module of this package that holds a function of that name
 QUERIES = {
     "op5_token_counts": "token_counts",
+    "op8_warc": "warc",
+    "op9_pii": "pii",
 }
 
 
@@ -22,4 +28,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: getattr(import_module(f"{__package__}.{module}"), sql) for name, (module, sql) in SQL.items()}
