@@ -6,13 +6,16 @@ from importlib import import_module
 
 #: query -> (module, name of its SQL there)
 SQL = {
+    "op4_chat": ("chat", "OP4_SQL"),
     "op8_warc": ("warc", "OP8_SQL"),
 }
 #: query -> module of this package that holds a function of that name
 QUERIES = {
+    "op4_chat": "chat",
     "op5_token_counts": "token_counts",
     "op8_warc": "warc",
     "op9_pii": "pii",
+    "op10_media": "media",
 }
 
 
