@@ -14,6 +14,7 @@ QUERIES = {
     "op4_chat": "chat",
     "op5_token_counts": "token_counts",
     "op8_warc": "warc",
+    "op7_quality": "quality",
     "op9_pii": "pii",
     "op10_media": "media",
 }

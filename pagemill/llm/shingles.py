@@ -27,6 +27,8 @@ MAX_BYTES = 1 << 20
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _BYTE[65:91] = _BYTE[97:123]
+#: As _BYTE, but upper and lower case differ.
+CASED = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C13)
@@ -66,13 +68,23 @@ def blocks(offsets: np.ndarray, max_bytes: int = MAX_BYTES, max_docs: int = MAX_
         i = j
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, number of the document it stands in)."""
+def words(raw: np.ndarray, offsets: np.ndarray, kinds: np.ndarray | None = None, values: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, number of the document it stands in).
+
+    With kinds, a table of the kind of each byte, 0 for white space, a word
+    also ends where the kind changes; values are what bytes add to a hash.
+    """
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    space = _SPACE[raw]
-    start = ~space
-    start[1:] &= space[:-1]
+    if kinds is None:
+        space = _SPACE[raw]
+        start = ~space
+        start[1:] &= space[:-1]
+    else:
+        kind = kinds[raw]
+        space = kind == 0
+        start = ~space
+        start[1:] &= kind[1:] != kind[:-1]
     first = offsets[:-1][np.diff(offsets) > 0]
     start[first] = ~space[first]
     at = np.flatnonzero(start)
@@ -86,7 +98,7 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     powers = np.full(int(place.max()) + 1, _BASE, np.uint64)
     powers[0] = 1
     np.multiply.accumulate(powers, out=powers)
-    value = _BYTE[raw]
+    value = values[raw]
     value *= powers[place]
     value[space] = 0
     return mix(np.add.reduceat(value, at)), np.searchsorted(offsets, at, "right") - 1
