@@ -11,6 +11,8 @@ SQL = {
 }
 #: query -> module of this package that holds a function of that name
 QUERIES = {
+    "op2_decontaminate": "decontaminate",
+    "op3_mixing": "mixing",
     "op4_chat": "chat",
     "op5_token_counts": "token_counts",
     "op8_warc": "warc",
