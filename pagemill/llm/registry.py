@@ -11,6 +11,7 @@ SQL = {
 }
 #: query -> module of this package that holds a function of that name
 QUERIES = {
+    "op1_ngram_join": "ngram_join",
     "op2_decontaminate": "decontaminate",
     "op3_mixing": "mixing",
     "op4_chat": "chat",
