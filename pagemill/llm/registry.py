@@ -17,6 +17,7 @@ QUERIES = {
     "op4_chat": "chat",
     "op5_token_counts": "token_counts",
     "op8_warc": "warc",
+    "op6_repeats": "repeats",
     "op7_quality": "quality",
     "op9_pii": "pii",
     "op10_media": "media",
