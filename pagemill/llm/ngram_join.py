@@ -343,5 +343,15 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs that name their component, with all their columns; rows of an empty set or a null doc_id stay.
+
+    Rows that repeat the doc_id that stays are that document and stay with it.
+    """
+    # the ids of the rows that go are few; only rows that have one may be dropped
+    gone = ngram_components(docs).where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+
+
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .common import table
 from .shingles import CASED, blocks, buffers, words
@@ -178,12 +179,12 @@ def fitted(docs: DataFrame, labels: DataFrame, vectors: np.ndarray) -> Network |
     return Network().fit(x, y) if len(got) and len(set(y.tolist())) == 2 else None
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with the columns score (double) and predicted (int); clashing columns give way."""
+def scored(docs: DataFrame, labels: DataFrame, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """docs with the columns score (double) and predicted (int) under these names; clashing columns give way."""
     vectors = corpus_vectors(docs)
     model = fitted(docs, labels, vectors)
     shared = docs.sparkSession.sparkContext.broadcast((vectors, model))
-    base = docs.drop("score", "predicted")
+    base = docs.drop(score, predicted)
     at = base.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,11 +192,9 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             raw, off = buffers(batch.column(at))
             p = net.score(pooled(table_, raw, off)) if net else np.full(batch.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names, score, predicted])
 
-    from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
-
-    return base.mapInArrow(run, StructType([*base.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
+    return base.mapInArrow(run, StructType([*base.schema.fields, StructField(score, DoubleType()), StructField(predicted, IntegerType())]))
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
