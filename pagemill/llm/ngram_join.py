@@ -12,9 +12,11 @@ Sets are the distinct five-word shingles of whole texts; two link when
    one more than that prefix; larger ones, and small ones of a size that may
    link with them, post single shingles to inverted lists.  The boundary is
    the size at which estimated costs of subsets and of list scans are least.
-4. A list is sorted by size, and neighbours that sizes let link are joined: the
-   chains' components hold every pair that may link, and a list of L rows gives
-   L - 1 edges, never L * L.  Lists of common shingles are salted.
+4. Light lists (at most LIGHT rows) give their pairs, counted over all lists; a
+   pair that links must share so many keys.  Heavy lists are sorted by size, and
+   neighbours that sizes let link are joined: L rows give L - 1 edges, never
+   L * L, and every pair that may link is in one component.  Lists of common
+   shingles are salted.
 5. Each component's sets meet once: a small one as one group, a large one as
    blocks by size class and salt, each two that sizes let link.  There all
    intersections are counted and a spanning forest of the links comes out.
@@ -47,6 +49,8 @@ CELLS, PIECES = 1 << 22, 64
 MOST_SMALL = 64
 #: Documents of a block; a component of no more is one group.
 BLOCK = 256
+#: Rows of a list that gives its pairs.
+LIGHT = 32
 #: Rows of a salted part of a common list, about.
 LIST_ROWS = 1 << 14
 #: Bits of the filter of documents whose sets are wanted.
@@ -201,32 +205,80 @@ def _postings(nodes: DataFrame, boundary: int, stands_out: float) -> DataFrame:
     return nodes.select("n", "node", "head", "ranks").mapInArrow(run, "key long, n int, node long")
 
 
-def _chained(batches: Iterator[pa.RecordBatch], boundary: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and n: edges between neighbours of one list; the first row of a salted part as (key, node)."""
-    carry = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+def _lists(batches: Iterator[pa.RecordBatch], boundary: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key and n, as lists: kind 0 the pairs (a, b) of a light list with their sizes and counts,
+    kind 1 the chain of a heavy one, kind 2 the first row of a salted part as (key, node)."""
+    carry, inside = tuple(np.zeros(0, np.int64) for _ in range(3)), False
+
+    def rows(kind: int, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(na), pa.array(nb), pa.array(count)], ["kind", "a", "b", "na", "nb", "count"])
+
+    def settle(key: np.ndarray, n: np.ndarray, node: np.ndarray, inside: bool) -> Iterator[pa.RecordBatch]:
+        """inside: the first list goes on a chain that began before."""
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(start, len(key)))
+        salted = (key[start] >> HASH_BITS) & 0x3FFF > 0
+        heavy = (size > LIGHT) | salted
+        heavy[0] |= inside
+        own = np.repeat(heavy, size)
+        link = own[1:] & (key[1:] == key[:-1]) & (4 * n[:-1] >= 3 * n[1:])
+        a, b = node[:-1][link], node[1:][link]
+        if len(a):
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            none = np.zeros(len(both), np.int64)
+            yield rows(1, both[:, 0], both[:, 1], none, none, none)
+        head = start[salted][1 if inside and salted[0] else 0 :]
+        if len(head):
+            none = np.zeros(len(head), np.int64)
+            yield rows(2, key[head] & ~np.int64(0x3FFF << HASH_BITS), node[head], none, none, none)
+        parts = []
+        ids, code = np.unique(node, return_inverse=True)
+        for length in np.unique(size[~heavy]):
+            if length > 1:
+                first = start[~heavy & (size == length)]
+                i, j = np.triu_indices(int(length), 1)
+                x, y = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
+                # two small sets meet in subsets of two
+                good = (4 * n[x] >= 3 * n[y]) & ((n[y] > boundary) | (key[x] & (1 << 62) != 0)) & (code[x] != code[y])
+                parts.append(np.stack([x[good], y[good]], 1))
+        if parts and sum(map(len, parts)):
+            x, y = np.concatenate(parts).T
+            low = node[x] < node[y]
+            x, y = np.where(low, x, y), np.where(low, y, x)
+            pair, at, count = np.unique(code[x] * np.int64(len(ids)) + code[y], return_index=True, return_counts=True)
+            yield rows(0, node[x[at]], node[y[at]], n[x[at]], n[y[at]], count.astype(np.int64))
+
     for batch in batches:
         if not batch.num_rows:
             continue
         key, n, node = (np.concatenate([c, batch.column(k).to_numpy().astype(np.int64)]) for k, c in enumerate(carry))
-        same = key[1:] == key[:-1]
-        link = same & (4 * n[:-1] >= 3 * n[1:])
-        # two small sets meet in subsets of two
-        link &= (n[1:] > boundary) | (key[1:] & (1 << 62) != 0)
-        a, b = node[:-1][link], node[1:][link]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        head = np.flatnonzero(np.concatenate([[not len(carry[0])], ~same]) & ((key >> HASH_BITS) & 0x3FFF > 0))
-        base = key[head] & ~np.int64(0x3FFF << HASH_BITS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[:, 0], base])), pa.array(np.concatenate([pairs[:, 1], node[head]])), pa.array(np.repeat([False, True], [len(pairs), len(head)]))], ["a", "b", "part"])
-        carry = (key[-1:], n[-1:], node[-1:])
+        last = int(np.searchsorted(key == key[-1], True)) if key[0] != key[-1] else 0
+        long = len(key) - last > LIGHT or (inside and last == 0) or (int(key[-1]) >> HASH_BITS) & 0x3FFF > 0
+        until = len(key) if long else last
+        if until:
+            yield from settle(key[:until], n[:until], node[:until], inside)
+            inside = long
+        keep = len(key) - 1 if long else last
+        carry = (key[keep:], n[keep:], node[keep:])
+    if len(carry[0]) and not inside:
+        yield from settle(*carry, False)
 
 
 def _candidates(nodes: DataFrame, boundary: int, stands_out: float) -> DataFrame:
-    """Edges (a, b) whose components hold every pair that may link."""
+    """Edges (a, b) whose components hold every pair that may link.
+
+    A pair that links shares at least need(n + m) - need(max) + 1 keys of the two prefixes;
+    if all its lists are light they were all counted, else a chain joins it.
+    """
     rows = _postings(nodes, boundary, stands_out).repartition("key").sortWithinPartitions("key", "n")
-    found = written(rows.mapInArrow(lambda b: _chained(b, boundary), "a long, b long, part boolean").distinct(), "chains")
-    parts = found.where("part").select(F.col("a").alias("key"), F.col("b").alias("node"))
+    found = written(rows.mapInArrow(lambda b: _lists(b, boundary), "kind int, a long, b long, na long, nb long, count long"), "lists")
+    pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("count").alias("count"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    most = F.greatest("na", "nb")
+    least = F.expr("(3 * (na + nb) + 6) div 7") - F.expr("(3 * greatest(na, nb) + 3) div 4") + 1
+    light = pairs.where((most <= boundary) | (F.col("count") >= least)).select("a", "b")
+    parts = found.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("node")).distinct()
     joined = parts.join(parts.groupBy("key").agg(F.min("node").alias("least")), "key").select(F.col("least").alias("a"), F.col("node").alias("b")).where("a <> b")
-    return found.where("NOT part").select("a", "b").unionByName(joined)
+    return light.unionByName(found.where("kind = 1").select("a", "b").distinct()).unionByName(joined)
 
 
 def _grouped(members: DataFrame) -> DataFrame:
