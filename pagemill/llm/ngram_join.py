@@ -95,15 +95,22 @@ def sketch(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def levels(cells: np.ndarray) -> tuple[np.ndarray, float]:
-    """(rank level of each cell, the count from which a cell stands out); level 0 is what chance fills a cell with."""
-    mean = float(cells.mean())
-    stands_out = mean + 6 * mean**0.5 + 16
-    return np.where(cells <= stands_out, 0, np.minimum(31, 1 + 2 * np.log2(np.maximum(cells, 1) / stands_out))).astype(np.uint8), stands_out
+def levels(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rank level of each cell, 0 to 31; the least count of each level).
+
+    Half steps of a standard deviation around the mean load, then doublings: a
+    shingle of a few dozen documents already comes behind those that chance
+    puts into a cell, so a prefix is made of what is rare.
+    """
+    mean = max(float(cells.mean()), 1.0)
+    near = mean + np.arange(-2, 13) * 0.5 * mean**0.5
+    least = np.concatenate([[0.0], near, near[-1] * 2.0 ** np.arange(1, 17)])
+    return (np.searchsorted(least, cells, "right") - 1).astype(np.uint8), least
 
 
-def expected_count(level: np.ndarray, stands_out: float) -> np.ndarray:
-    return np.where(level == 0, 1.0, stands_out * 2.0 ** ((level.astype(float) - 1) / 2))
+def expected_count(level: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Documents of a shingle, estimated from its level: what its cell holds beyond the mean load, 1 at least."""
+    return np.maximum(1.0, least - least[3])[level]
 
 
 def _set_rows(batch: pa.RecordBatch, level: np.ndarray):
@@ -135,7 +142,7 @@ def _binary(parts: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(np.ascontiguousarray(parts).tobytes())])
 
 
-def _described(docs: DataFrame, level, stands_out: float) -> DataFrame:
+def _described(docs: DataFrame, level, least: np.ndarray) -> DataFrame:
     """doc_id, n, node, scan (estimated rows of the prefix's lists), head (prefix and one more: hash bytes), ranks (their levels)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +151,7 @@ def _described(docs: DataFrame, level, stands_out: float) -> DataFrame:
             for i, j, n, start, h, lv, digest in _set_rows(batch, level.value):
                 p = np.where(n > 0, np.minimum(n, n - need(n) + 2), 0)
                 at = np.arange(int(p.sum())) + np.repeat(start[:-1] - (np.cumsum(p) - p), p)
-                cost = np.bincount(np.repeat(np.arange(j - i), p), expected_count(lv[at], stands_out), j - i)
+                cost = np.bincount(np.repeat(np.arange(j - i), p), expected_count(lv[at], least), j - i)
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n, pa.int64()), pa.array(digest), pa.array(cost), _binary(_pack(h[at]), 6 * p), _binary(lv[at], p)], ["doc_id", "n", "node", "scan", "head", "ranks"])
 
     return docs.mapInArrow(run, "doc_id long, n long, node long, scan double, head binary, ranks binary")
@@ -167,11 +174,11 @@ def boundary_of(sizes: list[tuple[int, int, float]]) -> int:
     return chosen
 
 
-def _postings(nodes: DataFrame, boundary: int, stands_out: float) -> DataFrame:
+def _postings(nodes: DataFrame, boundary: int, least: np.ndarray) -> DataFrame:
     """(key, n, node): subsets of two for small sets, single shingles for the rest; common keys carry a salt."""
 
     def salted(key: np.ndarray, lv: np.ndarray, node: np.ndarray) -> np.ndarray:
-        parts = np.maximum(1, expected_count(lv, stands_out) / LIST_ROWS).astype(np.uint64)
+        parts = np.maximum(1, expected_count(lv, least) / LIST_ROWS).astype(np.uint64)
         salt = np.where(parts > 1, mix(node.view(np.uint64)) % parts + np.uint64(1), 0).astype(np.uint64)
         return (key & ~(np.uint64(0x3FFF) << np.uint64(HASH_BITS))) | np.minimum(salt, np.uint64(0x3FFF)) << np.uint64(HASH_BITS)
 
@@ -264,18 +271,18 @@ def _lists(batches: Iterator[pa.RecordBatch], boundary: int) -> Iterator[pa.Reco
         yield from settle(*carry, False)
 
 
-def _candidates(nodes: DataFrame, boundary: int, stands_out: float) -> DataFrame:
+def _candidates(nodes: DataFrame, boundary: int, least: np.ndarray) -> DataFrame:
     """Edges (a, b) whose components hold every pair that may link.
 
     A pair that links shares at least need(n + m) - need(max) + 1 keys of the two prefixes;
     if all its lists are light they were all counted, else a chain joins it.
     """
-    rows = _postings(nodes, boundary, stands_out).repartition("key").sortWithinPartitions("key", "n")
+    rows = _postings(nodes, boundary, least).repartition("key").sortWithinPartitions("key", "n")
     found = written(rows.mapInArrow(lambda b: _lists(b, boundary), "kind int, a long, b long, na long, nb long, count long"), "lists")
     pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("count").alias("count"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     most = F.greatest("na", "nb")
-    least = F.expr("(3 * (na + nb) + 6) div 7") - F.expr("(3 * greatest(na, nb) + 3) div 4") + 1
-    light = pairs.where((most <= boundary) | (F.col("count") >= least)).select("a", "b")
+    fewest = F.expr("(3 * (na + nb) + 6) div 7") - F.expr("(3 * greatest(na, nb) + 3) div 4") + 1
+    light = pairs.where((most <= boundary) | (F.col("count") >= fewest)).select("a", "b")
     parts = found.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("node")).distinct()
     joined = parts.join(parts.groupBy("key").agg(F.min("node").alias("least")), "key").select(F.col("least").alias("a"), F.col("node").alias("b")).where("a <> b")
     return light.unionByName(found.where("kind = 1").select("a", "b").distinct()).unionByName(joined)
@@ -374,23 +381,23 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def ngram_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, copies (documents with the same set) for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    level, stands_out = levels(sketch(docs))
+    level, least = levels(sketch(docs))
     shared = docs.sparkSession.sparkContext.broadcast(level)
-    every = written(_described(docs, shared, stands_out), "sets")
+    every = written(_described(docs, shared, least), "sets")
     nodes = every.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     nodes = written(nodes, "nodes")
     # one row for each node: that of its smallest doc_id
     heads = every.where("n >= 3").join(nodes.select("node", "doc_id"), ["node", "doc_id"], "left_semi")
     sizes = every.where(F.col("n").between(3, 2 * MOST_SMALL)).groupBy("n").agg(F.count(F.lit(1)), F.sum("scan")).collect()
     boundary = boundary_of([tuple(r) for r in sizes])
-    rough = components(_candidates(heads, boundary, stands_out))
+    rough = components(_candidates(heads, boundary, least))
     members = written(rough.join(nodes.select("node", "n", "doc_id"), "node"), "members")
     sets = _wanted_sets(docs, members)
     met = _grouped(members).join(sets, "node").repartition("group").sortWithinPartitions("group", "node")
     links = written(met.select("group", "node", "shingles").mapInArrow(_links, "a long, b long").distinct(), "links")
     final = components(links).join(nodes.select("node", "doc_id"), "node")
-    least = final.groupBy("root").agg(F.min("doc_id").alias("component"))
-    named = nodes.select("node", "doc_id", "copies").join(final.select("node", "root").join(least, "root").select("node", "component"), "node", "left").select("node", "copies", F.coalesce("component", "doc_id").alias("component"))
+    names = final.groupBy("root").agg(F.min("doc_id").alias("component"))
+    named = nodes.select("node", "doc_id", "copies").join(final.select("node", "root").join(names, "root").select("node", "component"), "node", "left").select("node", "copies", F.coalesce("component", "doc_id").alias("component"))
     out = every.select("doc_id", "n", "node").join(named, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
