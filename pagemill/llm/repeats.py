@@ -140,6 +140,8 @@ def _repeated_anchors(texts: DataFrame, chosen, n_buckets: int) -> np.ndarray:
             for i, j in blocks(off, _BLOCK):
                 part = raw[off[i] : off[j]]
                 key = np.sort(anchor_keys(part, anchors(part, off[i : j + 1] - off[i])[0])) if len(part) >= LENGTH else np.zeros(0, np.uint64)
+                if not len(key):
+                    continue
                 # a range of hashes is a bucket; two of a hash in one block say all that more would
                 key = key[np.concatenate([[True, True], key[2:] != key[:-2]])[: len(key)]] if len(key) > 2 else key
                 bucket = (key >> np.uint64(16)).astype(np.int64) * n_buckets >> 32
@@ -307,6 +309,8 @@ def _records(texts: DataFrame, chosen, wanted, n_buckets: int) -> DataFrame:
                 key = anchor_keys(part, at)
                 where = _slot(key)
                 hit = (wanted.value[where >> 3] >> (where & 7).astype(np.uint8)) & 1 == 1
+                if not hit.any():
+                    continue
                 at, doc, key = at[hit], doc[hit], key[hit]
                 bucket = (mix(key) % np.uint64(n_buckets)).astype(np.int64)
                 o = np.argsort(bucket, kind="stable")

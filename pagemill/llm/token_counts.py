@@ -94,7 +94,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
                 n = count(text.slice(i, j - i).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array([version] * len(n), pa.string()), content.slice(i, j - i), pa.array(n, pa.int64())], ["tokenizer", "content", "n_tokens"])
 
-    misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").option("compression", "zstd").parquet(cache_path)
+    # rows that repeat a chosen doc_id and its text are appended once
+    misses.mapInArrow(encode, CACHE_SCHEMA).dropDuplicates(["content"]).write.mode("append").option("compression", "zstd").parquet(cache_path)
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     return digests.join(stored, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.lower(F.hex("content")).alias("content"))
 

@@ -72,7 +72,8 @@ def zip_members(read: Read, size: int) -> dict[str, tuple[int, int]]:
     back = min(size, 22 + 0xFFFF + 20)
     tail = read(size - back, back)
     i = tail.rfind(_END)
-    while i >= 0 and i + 22 + struct.unpack_from("<H", tail, i + 20)[0] != len(tail):
+    # the signature may also stand in a comment: the right one's comment ends with the file
+    while i >= 0 and (i + 22 > len(tail) or i + 22 + struct.unpack_from("<H", tail, i + 20)[0] != len(tail)):
         i = tail.rfind(_END, 0, i)
     if i < 0:
         raise ValueError("no end of central directory")
