@@ -50,3 +50,20 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+#: A key is hot if it holds this share of all rows, or more: so there are no more hot keys than its inverse.
+HOT_SHARE = 1 / 1000
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """rows joined to groups, which has one row a key and, in count, the number of the key's rows.
+
+    Hot keys, at most 1 / HOT_SHARE of them, are broadcast, so their rows stay
+    where they are; the others meet in a shuffle. how: "inner" or "left".
+    """
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    hot, cold = groups.where(F.col(count) >= total * HOT_SHARE), groups.where(F.col(count) < total * HOT_SHARE)
+    near = rows.join(F.broadcast(hot), key)
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
+    return near.unionByName(far)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import spread_join, table, written
 from .components import components, roots
 from .shingles import HASH_BITS, MASK, blocks, buffers, mix, ordered_sets
 
@@ -152,7 +152,7 @@ def _described(docs: DataFrame, level, least: np.ndarray) -> DataFrame:
                 p = np.where(n > 0, np.minimum(n, n - need(n) + 2), 0)
                 at = np.arange(int(p.sum())) + np.repeat(start[:-1] - (np.cumsum(p) - p), p)
                 cost = np.bincount(np.repeat(np.arange(j - i), p), expected_count(lv[at], least), j - i)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n, pa.int64()), pa.array(digest), pa.array(cost), _binary(_pack(h[at]), 6 * p), _binary(lv[at], p)], ["doc_id", "n", "node", "scan", "head", "ranks"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n, pa.int64()), pa.array(digest), pa.array(cost.astype(float)), _binary(_pack(h[at]), 6 * p), _binary(lv[at], p)], ["doc_id", "n", "node", "scan", "head", "ranks"])
 
     return docs.mapInArrow(run, "doc_id long, n long, node long, scan double, head binary, ranks binary")
 
@@ -398,7 +398,9 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     final = components(links).join(nodes.select("node", "doc_id"), "node")
     names = final.groupBy("root").agg(F.min("doc_id").alias("component"))
     named = nodes.select("node", "doc_id", "copies").join(final.select("node", "root").join(names, "root").select("node", "component"), "node", "left").select("node", "copies", F.coalesce("component", "doc_id").alias("component"))
-    out = every.select("doc_id", "n", "node").join(named, "node", "left")
+    named = written(named, "named")
+    # copies of one set may be a large share of all rows
+    out = spread_join(every.select("doc_id", "n", "node"), named, "node", "copies", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
