@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, text_or_empty
+from .common import scratch, spread_join, text_or_empty, written
 from .shingles import blocks, buffers
 
 CACHE_SCHEMA = "tokenizer string, content binary, n_tokens long"
@@ -82,7 +82,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     known = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).select("content", "n_tokens")
     #: One row of each missing content is encoded: that of the smallest doc_id.
-    chosen = digests.groupBy("content").agg(F.min("doc_id").alias("doc_id")).join(known, "content", "left_anti").withColumnRenamed("content", "wanted")
+    groups = written(digests.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "contents")
+    chosen = groups.join(known, "content", "left_anti").select(F.col("content").alias("wanted"), "doc_id")
     misses = keyed.join(chosen, keyed.doc_id.eqNullSafe(chosen.doc_id) & (keyed.content == chosen.wanted), "left_semi").select("content", "text")
 
     count = Counter(tokenizer_path)
@@ -97,7 +98,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     # rows that repeat a chosen doc_id and its text are appended once
     misses.mapInArrow(encode, CACHE_SCHEMA).dropDuplicates(["content"]).write.mode("append").option("compression", "zstd").parquet(cache_path)
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    return digests.join(stored, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.lower(F.hex("content")).alias("content"))
+    answered = groups.select("content", "copies").join(stored, "content")
+    # copies of one text may be a large share of all rows
+    return spread_join(digests, answered, "content", "copies").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.lower(F.hex("content")).alias("content"))
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
