@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty, written
+from .common import spread_join, table, text_or_empty, written
 from .shingles import blocks, buffers, mix
 
 LENGTH, GRAM = 100, 32
@@ -350,14 +350,15 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("order")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tid"), order)
     every = written(texts.select("doc_id", "tid", "order", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")), "texts")
-    first = written(every.groupBy("digest").agg(F.min("order").alias("first"), F.first("tid").alias("tid"), F.first("n_bytes").alias("n_bytes")), "first")
+    first = written(every.groupBy("digest").agg(F.min("order").alias("first"), F.first("tid").alias("tid"), F.first("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("copies")), "first")
     total = first.agg(F.sum("n_bytes")).first()[0] or 0
     n_buckets = max(64, total // BUCKET_BYTES)
     chosen = spark.sparkContext.broadcast(_text_filter(first.select("tid", F.col("first").alias("order"))))
     wanted = spark.sparkContext.broadcast(_repeated_anchors(texts, chosen, n_buckets))
     records = _records(texts, chosen, wanted, n_buckets).repartition("bucket").sortWithinPartitions("bucket")
     spans = written(records.mapInArrow(_covered, "tid long, start long, end long"), "spans")
-    return every.join(first.select("digest", "first"), "digest"), texts, spans
+    # copies of one text may be a large share of all rows
+    return spread_join(every, first.select("digest", "first", "copies"), "digest", "copies").drop("copies"), texts, spans
 
 
 def without_repeats(docs: DataFrame, kept_text: bool = False) -> DataFrame:
@@ -373,7 +374,9 @@ def without_repeats(docs: DataFrame, kept_text: bool = False) -> DataFrame:
     near = texts.select("tid", "order", "text", _bit().alias("bit")).mapInArrow(hits, "tid long, order long, text string, bit long")
     cut = near.join(by_text, "tid").select("tid", "text", "spans").mapInArrow(_cut, "tid long, n_removed long, n_spans long, kept_sha256 string, kept string")
     cut = cut.dropDuplicates(["tid"]) if kept_text else cut.drop("kept").distinct()
-    joined = every.join(cut, "tid", "left")
+    # only the first row of a text can have spans; its copies, be they many, need no join
+    head = (F.col("order") == F.col("first")) & (F.col("n_bytes") >= LENGTH)
+    joined = every.where(head).join(cut, "tid", "left").unionByName(every.where(~head), allowMissingColumns=True)
     copy = (F.col("order") > F.col("first")) & (F.col("n_bytes") >= LENGTH)
     out = joined.select(
         "doc_id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
