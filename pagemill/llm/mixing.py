@@ -30,7 +30,7 @@ LEVELS = ("domain", "lang", "source")
 #: Of the tokens there are; and how often a row may come at most.
 BUDGET_SHARE, MAX_EPOCHS, SEED = 0.6, 3, 20240601
 #: Rows of a hash range, about.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 #: Leaves reach the driver as sums; more than this is refused.
 MAX_LEAVES = 1_000_000
 #: (path of names) -> weight among its siblings
