@@ -67,3 +67,9 @@ def spread_join(rows: DataFrame, groups: DataFrame, key: str, count: str, how: s
     near = rows.join(F.broadcast(hot), key)
     far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
     return near.unionByName(far)
+
+
+def few_large_tasks(df: DataFrame) -> DataFrame:
+    """df in fewer partitions, for tasks that each send a table of fixed size: two rounds of all cores, or 32 splits a task."""
+    n = df.rdd.getNumPartitions()
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, n // 32, 1))

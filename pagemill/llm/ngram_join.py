@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread_join, table, written
+from .common import few_large_tasks, spread_join, table, written
 from .components import components, roots
 from .shingles import HASH_BITS, MASK, blocks, buffers, mix, ordered_sets
 
@@ -87,8 +87,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in sums.values()], pa.binary())], ["piece", "counts"])
 
-    tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
-    parts = docs.select("text").coalesce(tasks).mapInArrow(gather, "piece int, counts binary").repartition(PIECES, "piece").mapInArrow(merge, "piece int, counts binary")
+    parts = few_large_tasks(docs.select("text")).mapInArrow(gather, "piece int, counts binary").repartition(PIECES, "piece").mapInArrow(merge, "piece int, counts binary")
     out = np.zeros(CELLS, np.uint32)
     for piece, counts in parts.collect():
         out[piece * size : (piece + 1) * size] = np.frombuffer(zlib.decompress(counts), np.uint32)

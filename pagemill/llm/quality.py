@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import table
+from .common import few_large_tasks, table
 from .shingles import CASED, blocks, buffers, words
 
 ROWS, DIM, NONZERO, WINDOW = 1 << 15, 32, 4, 2
@@ -82,9 +82,7 @@ def corpus_vectors(docs: DataFrame) -> np.ndarray:
     def _pieces(total: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([total[p * size : (p + 1) * size].tobytes() for p in range(PIECES)], pa.binary())], ["piece", "sums"])
 
-    # few large tasks: every task sends a whole table
-    tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
-    parts = docs.select("text").coalesce(tasks).mapInArrow(gather, "piece int, sums binary").repartition(PIECES, "piece").mapInArrow(merge, "piece int, sums binary")
+    parts = few_large_tasks(docs.select("text")).mapInArrow(gather, "piece int, sums binary").repartition(PIECES, "piece").mapInArrow(merge, "piece int, sums binary")
     out = np.zeros(ROWS * DIM)
     for piece, values in parts.collect():
         out[piece * size : (piece + 1) * size] = np.frombuffer(values, np.float64)
