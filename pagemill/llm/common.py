@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch of texts: with Spark's default of 10,000 a batch of long texts and its copies take hundreds of MB.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of documents or the like; a session that has Spark's default batch size gets a smaller one."""
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -73,3 +82,15 @@ def few_large_tasks(df: DataFrame) -> DataFrame:
     """df in fewer partitions, for tasks that each send a table of fixed size: two rounds of all cores, or 32 splits a task."""
     n = df.rdd.getNumPartitions()
     return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, n // 32, 1))
+
+
+def bits_of(words: list, n_bits: int) -> np.ndarray:
+    """A packed bit set from rows (number of a 32-bit word, its bits)."""
+    filled = np.zeros(n_bits // 32, "<u4")
+    for word, bits in words:
+        filled[word] = bits
+    return filled.view(np.uint8)
+
+
+def has_bits(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few_large_tasks, spread_join, table, written
+from .common import bits_of, few_large_tasks, has_bits, spread_join, table, written
 from .components import components, roots
 from .shingles import HASH_BITS, MASK, blocks, buffers, mix, ordered_sets
 
@@ -312,15 +312,12 @@ def _wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, shingles) of the documents in wanted (doc_id); a filter of FILTER_BITS bits may let others through."""
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     words = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 AS int))")).alias("bits")).collect()
-    filled = np.zeros(FILTER_BITS // 32, np.uint32)
-    for word, bits in words:
-        filled[word] = bits
-    shared = docs.sparkSession.sparkContext.broadcast(np.unpackbits(filled.view(np.uint8), bitorder="little").astype(bool))
+    shared = docs.sparkSession.sparkContext.broadcast(bits_of(words, FILTER_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.zeros(1, np.uint8)
         for batch in batches:
-            batch = batch.filter(pa.array(shared.value[batch.column("bit").to_numpy()]))
+            batch = batch.filter(pa.array(has_bits(shared.value, batch.column("bit").to_numpy())))
             if batch.num_rows:
                 for _, _, n, _, h, _, digest in _set_rows(batch, flat):
                     yield pa.RecordBatch.from_arrays([pa.array(digest), _binary(_pack(h), 6 * n)], ["node", "shingles"])

@@ -94,7 +94,8 @@ def pooled(vectors: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> np.ndar
     """(documents, 2 * DIM): means of the tokens' vectors and of their squares."""
     n = len(offsets) - 1
     out = np.zeros((n, 2 * DIM))
-    for i, j in blocks(offsets):
+    # a token's vector is 32 times its bytes and more: small blocks
+    for i, j in blocks(offsets, 1 << 17):
         row, doc = tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         if not len(row):
             continue

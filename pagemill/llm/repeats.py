@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread_join, table, text_or_empty, written
+from .common import bits_of, has_bits, spread_join, table, text_or_empty, written
 from .shingles import blocks, buffers, mix
 
 LENGTH, GRAM = 100, 32
@@ -120,10 +120,7 @@ _BUCKETS = "bucket long, rows binary, size int"
 def _text_filter(ids: DataFrame) -> np.ndarray:
     """Bits of the texts (tid, order) in ids; as many texts as there may be, it has TEXT_FILTER_BITS bits."""
     words = ids.select(_bit().alias("bit")).groupBy(F.shiftright("bit", 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 AS int))")).alias("bits")).collect()
-    filled = np.zeros(TEXT_FILTER_BITS // 32, np.uint32)
-    for word, bits in words:
-        filled[word] = bits
-    return np.unpackbits(filled.view(np.uint8), bitorder="little").astype(bool)
+    return bits_of(words, TEXT_FILTER_BITS)
 
 
 def _bit():
@@ -135,7 +132,7 @@ def _repeated_anchors(texts: DataFrame, chosen, n_buckets: int) -> np.ndarray:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(chosen.value[batch.column("bit").to_numpy()]))
+            batch = batch.filter(pa.array(has_bits(chosen.value, batch.column("bit").to_numpy())))
             raw, off = buffers(batch.column("text"))
             for i, j in blocks(off, _BLOCK):
                 part = raw[off[i] : off[j]]
@@ -298,7 +295,7 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _records(texts: DataFrame, chosen, wanted, n_buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(chosen.value[batch.column("bit").to_numpy()]))
+            batch = batch.filter(pa.array(has_bits(chosen.value, batch.column("bit").to_numpy())))
             raw, off = buffers(batch.column("text"))
             order, tid = batch.column("order").to_numpy(), batch.column("tid").to_numpy()
             for i, j in blocks(off, _BLOCK):
@@ -308,7 +305,7 @@ def _records(texts: DataFrame, chosen, wanted, n_buckets: int) -> DataFrame:
                     continue
                 key = anchor_keys(part, at)
                 where = _slot(key)
-                hit = (wanted.value[where >> 3] >> (where & 7).astype(np.uint8)) & 1 == 1
+                hit = has_bits(wanted.value, where)
                 if not hit.any():
                     continue
                 at, doc, key = at[hit], doc[hit], key[hit]
@@ -369,7 +366,7 @@ def without_repeats(docs: DataFrame, kept_text: bool = False) -> DataFrame:
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(touched.value[batch.column("bit").to_numpy()]))
+            yield batch.filter(pa.array(has_bits(touched.value, batch.column("bit").to_numpy())))
 
     near = texts.select("tid", "order", "text", _bit().alias("bit")).mapInArrow(hits, "tid long, order long, text string, bit long")
     cut = near.join(by_text, "tid").select("tid", "text", "spans").mapInArrow(_cut, "tid long, n_removed long, n_spans long, kept_sha256 string, kept string")
