@@ -28,31 +28,29 @@ def exclusive_tertile(values: Column, i: int) -> Column:
     return F.when(n > 1, (F.get(v, j - 1) * (3 - d) + F.get(v, j) * d) / 3)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value worked out once however often use takes it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def length_shares(tokens: Column) -> Column:
     """For each length from 1 to LONGEST the share of tokens of it, the last one with all longer ones."""
-    lengths = F.transform(tokens, lambda t: F.least(F.char_length(t), F.lit(LONGEST)))
-
-    def share(k: int) -> Column:
-        return F.size(F.filter(lengths, lambda n: n == k)) / F.size(tokens)
+    def shares(lengths: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.lit(LONGEST)), lambda k: F.size(F.filter(lengths, lambda n: n == k)) / F.size(lengths))
 
-    return F.array(*(share(k) for k in range(1, LONGEST + 1)))
+    return bound(F.transform(tokens, lambda t: F.least(F.char_length(t), F.lit(LONGEST))), shares)
 
 
 def divergence(p: Column, q: dict[int, float] | None = None) -> Column:
     """Kullback-Leibler divergence in nats of an array of shares from a reference, not below 0."""
     q = WORD_LENGTHS if q is None else q
-    terms = []
-    for k in range(1, LONGEST + 1):
-        x = F.get(p, F.lit(k - 1))
-        terms.append(F.when(x > 0, x * F.log((x + SMOOTHING) / (q.get(k, 0.0) + SMOOTHING))).otherwise(0.0))
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return F.greatest(total, F.lit(0.0))
+    against = F.array(*(F.lit(float(q.get(k, 0.0))) for k in range(1, LONGEST + 1)))
+    terms = F.zip_with(p, against, lambda x, y: F.when(x > 0, x * F.log((x + SMOOTHING) / (y + SMOOTHING))).otherwise(0.0))
+    return F.greatest(F.aggregate(terms, F.lit(0.0), lambda total, t: total + t), F.lit(0.0))
 
 
 def word_boundary_divergence(tokens: Column, q: dict[int, float] | None = None) -> Column:
-    return F.when(F.size(tokens) < FEWEST_TOKENS, 0.0).otherwise(divergence(length_shares(tokens), q))
+    return bound(tokens, lambda t: F.when(F.size(t) < FEWEST_TOKENS, 0.0).otherwise(divergence(length_shares(t), q)))
 
 
 def character_error_rate(reference: Column, hypothesis: Column) -> Column:
