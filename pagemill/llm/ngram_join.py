@@ -16,7 +16,8 @@ Sets are the distinct five-word shingles of whole texts; two link when
    pair that links must share so many keys.  Heavy lists are sorted by size, and
    neighbours that sizes let link are joined: L rows give L - 1 edges, never
    L * L, and every pair that may link is in one component.  Lists of common
-   shingles are salted.
+   shingles are salted; the unbroken runs of their parts are joined where sizes
+   let link, which gives the components of the whole list.
 5. Each component's sets meet once: a small one as one group, a large one as
    blocks by size class and salt, each two that sizes let link.  There all
    intersections are counted and a spanning forest of the links comes out.
@@ -36,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bits_of, few_large_tasks, has_bits, spread_join, table, written
@@ -213,7 +214,7 @@ def _postings(nodes: DataFrame, boundary: int, least: np.ndarray) -> DataFrame:
 
 def _lists(batches: Iterator[pa.RecordBatch], boundary: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key and n, as lists: kind 0 the pairs (a, b) of a light list with their sizes and counts,
-    kind 1 the chain of a heavy one, kind 2 the first row of a salted part as (key, node)."""
+    kind 1 the chain of a heavy one, kind 2 each unbroken run of a salted part's chain as (key, first node, least n, most n)."""
     carry, inside = tuple(np.zeros(0, np.int64) for _ in range(3)), False
 
     def rows(kind: int, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
@@ -233,10 +234,13 @@ def _lists(batches: Iterator[pa.RecordBatch], boundary: int) -> Iterator[pa.Reco
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
             none = np.zeros(len(both), np.int64)
             yield rows(1, both[:, 0], both[:, 1], none, none, none)
-        head = start[salted][1 if inside and salted[0] else 0 :]
+        # a run that goes on in the next batch comes as two that share a size
+        head = np.flatnonzero(np.concatenate([[True], ~link]))
+        end = np.append(head[1:], len(key)) - 1
+        of_salted = np.repeat(salted, size)[head]
+        head, end = head[of_salted], end[of_salted]
         if len(head):
-            none = np.zeros(len(head), np.int64)
-            yield rows(2, key[head] & ~np.int64(0x3FFF << HASH_BITS), node[head], none, none, none)
+            yield rows(2, key[head] & ~np.int64(0x3FFF << HASH_BITS), node[head], n[head], n[end], np.zeros(len(head), np.int64))
         parts = []
         ids, code = np.unique(node, return_inverse=True)
         for length in np.unique(size[~heavy]):
@@ -282,8 +286,12 @@ def _candidates(nodes: DataFrame, boundary: int, least: np.ndarray) -> DataFrame
     most = F.greatest("na", "nb")
     fewest = F.expr("(3 * (na + nb) + 6) div 7") - F.expr("(3 * greatest(na, nb) + 3) div 4") + 1
     light = pairs.where((most <= boundary) | (F.col("count") >= fewest)).select("a", "b")
-    parts = found.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("node")).distinct()
-    joined = parts.join(parts.groupBy("key").agg(F.min("node").alias("least")), "key").select(F.col("least").alias("a"), F.col("node").alias("b")).where("a <> b")
+    # runs of all parts of a list in order of their least size: one goes on where that may link with the most before it,
+    # as in a list without a salt; a part has no more runs than sizes have steps of 4 / 3
+    runs = found.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("na").alias("low"), F.col("nb").alias("high")).distinct()
+    order = Window.partitionBy("key").orderBy("low", "node", "high")
+    before = runs.select("low", F.col("node").alias("b"), F.lag("node").over(order).alias("a"), F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("most"))
+    joined = before.where("4 * most >= 3 * low AND a <> b").select("a", "b")
     return light.unionByName(found.where("kind = 1").select("a", "b").distinct()).unionByName(joined)
 
 

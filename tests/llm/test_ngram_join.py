@@ -43,6 +43,15 @@ def test_large_group_in_blocks(spark):
     compare(spark, rows)
 
 
+def test_salted_lists_of_many_sizes(spark, monkeypatch):
+    # common shingles are equally common, and lists that hold a long text hold short ones too: chains of salted parts break
+    monkeypatch.setattr(ngram_join, "LIST_ROWS", 48)
+    base = [f"b{k}" for k in range(300)]
+    rows = [(k, " ".join([*(base * 2)[k : k + 84], f"s{k}"])) for k in range(300)]
+    rows += [(1000 + k, " ".join([*base, *base[:4], *(f"l{k}x{m}" for m in range(36))])) for k in range(40)]
+    compare(spark, rows)
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One"), (5, "one"), (6, "a b c d e"), (7, "A B C D E"), (8, "a b c d e"), (8, "a b c d e"), (9, "é ñ"), (10, "É ñ"), (11, "x " * 20000), (12, "x " * 300), (13, "a b c d"), (13, "q r s t")]
     compare(spark, rows)
