@@ -20,8 +20,10 @@ Sets are the distinct five-word shingles of whole texts; two link when
    let link, which gives the components of the whole list.
 5. Each component's sets meet once: a small one as one group, a large one as
    blocks by size class and salt, each two that sizes let link.  There all
-   intersections are counted and a spanning forest of the links comes out.
-6. Components of the links, and the smallest doc_id of each.
+   intersections are counted and the links come out, each from the one group
+   that owns it: the group of its two blocks, or of its one block with itself.
+6. Components of the links, the smallest doc_id of each, and links a document,
+   copies counted in.
 
 Node keys are 64 bits of a digest of the set (a false merge of n distinct sets
 has a chance of n * n / 2 ** 65).  Empty sets link with nothing.  Null texts
@@ -41,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bits_of, few_large_tasks, has_bits, spread_join, table, written
-from .components import components, roots
+from .components import components
 from .shingles import HASH_BITS, MASK, blocks, buffers, mix, ordered_sets
 
 #: Cells of the sketch, and the pieces in which it travels (16 MB of counts reach the driver, 4 MB each task).
@@ -296,12 +298,13 @@ def _candidates(nodes: DataFrame, boundary: int, least: np.ndarray) -> DataFrame
 
 
 def _grouped(members: DataFrame) -> DataFrame:
-    """(node, n, group) from (node, n, root): one group a component, or one for each two of its blocks that may link."""
+    """(node, copies, group, second) from (node, n, copies, root): one group a component, or one for each two of its blocks that
+    may link; second: the row's block is the second of two."""
     members = members.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(_CLASS))).cast("int"))
     counts = members.groupBy("root", "class").agg(F.count(F.lit(1)).alias("rows"))
     shape = counts.groupBy("root").agg(F.sum("rows").alias("all"), F.map_from_entries(F.collect_list(F.struct("class", F.ceil(F.col("rows") / BLOCK).cast("int")))).alias("salts"))
     placed = members.join(shape, "root")
-    small = placed.where(F.col("all") <= BLOCK).select("node", "n", F.struct("root", F.lit(0).alias("c1"), F.lit(0).alias("s1"), F.lit(0).alias("c2"), F.lit(0).alias("s2")).alias("group"))
+    small = placed.where(F.col("all") <= BLOCK).select("node", "copies", F.struct("root", F.lit(0).alias("c1"), F.lit(0).alias("s1"), F.lit(0).alias("c2"), F.lit(0).alias("s2")).alias("group"), F.lit(False).alias("second"))
     own = F.pmod(F.xxhash64("node"), F.element_at("salts", F.col("class"))).cast("int").alias("s")
     large = placed.where(F.col("all") > BLOCK).withColumn("s", own)
     salts = lambda d: F.coalesce(F.try_element_at("salts", F.col("class") + d), F.lit(0))
@@ -312,7 +315,7 @@ def _grouped(members: DataFrame) -> DataFrame:
     large = large.withColumn("other", F.explode(other))
     mine, theirs = F.struct(F.col("class").alias("c"), F.col("s").alias("s")), F.col("other")
     one, two = F.least(mine, theirs), F.greatest(mine, theirs)
-    large = large.select("node", "n", F.struct("root", one["c"].alias("c1"), one["s"].alias("s1"), two["c"].alias("c2"), two["s"].alias("s2")).alias("group"))
+    large = large.select("node", "copies", F.struct("root", one["c"].alias("c1"), one["s"].alias("s1"), two["c"].alias("c2"), two["s"].alias("s2")).alias("group"), (mine > theirs).alias("second"))
     return small.unionByName(large)
 
 
@@ -333,8 +336,8 @@ def _wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("text", bit.alias("bit")).mapInArrow(run, "node long, shingles binary")
 
 
-def _group_links(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set of a group the first one that links join it to."""
+def _group_links(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The links of a group: (first, second, shingles that they share)."""
     n = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), n)
     h, code, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -354,36 +357,58 @@ def _group_links(sets: list[np.ndarray]) -> np.ndarray:
         both += held @ held.T
     both = both.astype(np.int64)
     a, b = np.nonzero(np.triu(100 * both >= 75 * (n[:, None] + n - both), 1))
-    return roots(a, b, len(sets))
+    return a, b, both[a, b]
+
+
+#: A link: its two nodes, shingles of both, copies and shingles of each.
+_LINK = "a long, b long, n_shared long, a_copies long, b_copies long, na long, nb long"
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group: edges of a spanning forest of each group's links."""
-    last, nodes, sets = None, [], []
+    """Rows sorted by group: the links that each group owns."""
+    last, nodes, copies, second, sets = None, [], [], [], []
 
-    def forest() -> pa.RecordBatch:
+    def owned() -> Iterator[pa.RecordBatch]:
         ids, first = np.unique(np.array(nodes, np.int64), return_index=True)
-        root = _group_links([sets[k] for k in first]) if len(ids) > 1 else np.zeros(len(ids), np.int64)
-        far = np.flatnonzero(root != np.arange(len(ids)))
-        return pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[root[far]])], ["a", "b"])
+        if len(ids) < 2:
+            return
+        own = [sets[k] for k in first]
+        a, b, shared = _group_links(own)
+        side = np.array(second)[first]
+        # two blocks: links within one of them belong to that block's own group
+        mine = (side[a] != side[b]) | (last[1:3] == last[3:5])
+        a, b, shared = a[mine], b[mine], shared[mine]
+        n, c = np.array([len(s) for s in own], np.int64), np.array(copies, np.int64)[first]
+        for at in range(0, len(a), 1 << 16):
+            x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[x], ids[y], shared[at : at + (1 << 16)], c[x], c[y], n[x], n[y])], [f.split()[0] for f in _LINK.split(", ")])
 
     for batch in batches:
         groups = batch.column("group").flatten()
         keys = list(zip(*(g.to_pylist() for g in groups), strict=True))
         raw, off = buffers(batch.column("shingles"))
-        for k, (key, node) in enumerate(zip(keys, batch.column("node").to_pylist(), strict=True)):
+        of = zip(keys, *(batch.column(c).to_pylist() for c in ("node", "copies", "second")), strict=True)
+        for k, (key, node, n, side) in enumerate(of):
             if key != last:
                 if len(nodes) > 1:
-                    yield forest()
-                last, nodes, sets = key, [], []
+                    yield from owned()
+                last, nodes, copies, second, sets = key, [], [], [], []
             nodes.append(node)
+            copies.append(n)
+            second.append(side)
             sets.append(_unpack(raw[off[k] : off[k + 1]]))
     if len(nodes) > 1:
-        yield forest()
+        yield from owned()
 
 
-def ngram_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, copies (documents with the same set) for every row of docs (doc_id, text)."""
+def ngram_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, pairs) of docs (doc_id, text).
+
+    rows: doc_id, n_shingles, component_id, copies (documents with the same set) and n_links (other documents that this
+    one links with, those of its own set among them) for every row of docs.
+    pairs: doc_id, other_id, n_shingles, other_shingles, n_shared, copies, other_copies for every link of two distinct
+    sets, each link once and each set by its smallest doc_id.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     level, least = levels(sketch(docs))
     shared = docs.sparkSession.sparkContext.broadcast(level)
@@ -395,17 +420,32 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     sizes = every.where(F.col("n").between(3, 2 * MOST_SMALL)).groupBy("n").agg(F.count(F.lit(1)), F.sum("scan")).collect()
     boundary = boundary_of([tuple(r) for r in sizes])
     rough = components(_candidates(heads, boundary, least))
-    members = written(rough.join(nodes.select("node", "n", "doc_id"), "node"), "members")
+    members = written(rough.join(nodes, "node"), "members")
     sets = _wanted_sets(docs, members)
     met = _grouped(members).join(sets, "node").repartition("group").sortWithinPartitions("group", "node")
-    links = written(met.select("group", "node", "shingles").mapInArrow(_links, "a long, b long").distinct(), "links")
+    links = written(met.select("group", "node", "copies", "second", "shingles").mapInArrow(_links, _LINK), "links")
     final = components(links).join(nodes.select("node", "doc_id"), "node")
     names = final.groupBy("root").agg(F.min("doc_id").alias("component"))
-    named = nodes.select("node", "doc_id", "copies").join(final.select("node", "root").join(names, "root").select("node", "component"), "node", "left").select("node", "copies", F.coalesce("component", "doc_id").alias("component"))
+    both = links.select(F.col("a").alias("node"), F.col("b_copies").alias("others")).unionByName(links.select(F.col("b").alias("node"), F.col("a_copies").alias("others")))
+    linked = final.join(names, "root").join(both.groupBy("node").agg(F.sum("others").alias("others")), "node").select("node", "component", "others")
+    named = nodes.select("node", "doc_id", "copies").join(linked, "node", "left").select("node", "copies", F.coalesce("component", "doc_id").alias("component"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     named = written(named, "named")
     # copies of one set may be a large share of all rows
     out = spread_join(every.select("doc_id", "n", "node"), named, "node", "copies", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    rows = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    ids = members.select("node", "doc_id")
+    pairs = links.join(ids.withColumnsRenamed({"node": "a"}), "a").join(ids.withColumnsRenamed({"node": "b", "doc_id": "other_id"}), "b")
+    return rows, pairs.select("doc_id", "other_id", F.col("na").alias("n_shingles"), F.col("nb").alias("other_shingles"), "n_shared", F.col("a_copies").alias("copies"), F.col("b_copies").alias("other_copies"))
+
+
+def ngram_components(docs: DataFrame) -> DataFrame:
+    """The rows of ngram_join."""
+    return ngram_join(docs)[0]
+
+
+def ngram_pairs(docs: DataFrame) -> DataFrame:
+    """The pairs of ngram_join."""
+    return ngram_join(docs)[1]
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

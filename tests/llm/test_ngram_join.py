@@ -52,6 +52,26 @@ def test_salted_lists_of_many_sizes(spark, monkeypatch):
     compare(spark, rows)
 
 
+def test_links_and_pairs(spark, monkeypatch):
+    # groups of all kinds: one group, blocks of several classes and salts, copies of linked texts
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rng = random.Random(4)
+    base = [f"b{k}" for k in range(90)]
+    rows = [(k, edited(rng, base[: rng.choice([60, 70, 80, 90])], rng.choice([0.0, 0.01, 0.015]))) for k in range(240)]
+    rows += [(500, "x y z u v w"), (501, "x y z u v w"), (502, None), (503, ""), (504, "p q r s t"), (505, " ".join(base)), (506, " ".join(base))]
+    small = [f"c{k}" for k in range(40)]
+    rows += [(600 + k, " ".join([*small, f"d{k // 2}"])) for k in range(6)]
+    sets = {d: brute.shingle_set(t) for d, t in rows}
+    links = {d: [e for e in sets if e != d and sets[d] and 100 * len(sets[d] & sets[e]) >= 75 * len(sets[d] | sets[e])] for d in sets}
+    found, pairs = ngram_join.ngram_join(spark.createDataFrame(rows, SCHEMA))
+    assert {r.doc_id: r.n_links for r in found.collect()} == {d: len(v) for d, v in links.items()}
+    first = {s: min(d for d in sets if sets[d] == s) for s in sets.values()}
+    alike = lambda d: sum(sets[e] == sets[d] for e in sets)
+    want = [(d, e, len(sets[d]), len(sets[e]), len(sets[d] & sets[e]), alike(d), alike(e)) for d in first.values() for e in links[d] if d < e and e in first.values() and sets[d] != sets[e]]
+    got = [r if r[0] < r[1] else (r[1], r[0], r[3], r[2], r[4], r[6], r[5]) for r in map(tuple, pairs.collect())]
+    assert len(want) > 300 and sorted(got) == sorted(want)
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One"), (5, "one"), (6, "a b c d e"), (7, "A B C D E"), (8, "a b c d e"), (8, "a b c d e"), (9, "é ñ"), (10, "É ñ"), (11, "x " * 20000), (12, "x " * 300), (13, "a b c d"), (13, "q r s t")]
     compare(spark, rows)
