@@ -106,9 +106,9 @@ def recogniser(rasteriser: Callable[[], Rasteriser], detector: Callable[[], Layo
 _ARROW = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[k]) for n, k in (f.split() for f in _SCHEMA.split(", "))])
 
 
-def lengths_by_model(results: DataFrame, models: list[str]) -> DataFrame:
-    """(page_index, one column a model): characters of text that each model gave."""
-    return results.withColumn("n", F.char_length("text")).groupBy("page_index").pivot("model", models).agg(F.first("n"))
+def lengths_by_model(results: DataFrame, models: list[str], keys: tuple[str, ...] = ("page_index",)) -> DataFrame:
+    """(keys, one column a model): characters of text that each model gave."""
+    return results.withColumn("n", F.char_length("text")).groupBy(*keys).pivot("model", models).agg(F.first("n"))
 
 
 def assembled(crops: DataFrame) -> DataFrame:

@@ -552,8 +552,9 @@ def label_roles(spark, sf):
 
 @_query("SELECT turn AS page_index, sum(length(text)) FILTER (role = 'user') AS \"user\", sum(length(text)) FILTER (role = 'assistant') AS assistant FROM (SELECT turn, role, text FROM conversations WHERE conv_id = 1) GROUP BY 1")
 def survey_lengths(spark, sf):
-    c = _table(spark, sf, "conversations").where("conv_id = 1").select(F.col("turn").alias("page_index"), F.col("role").alias("model"), "text")
-    return recognise.lengths_by_model(c, ["user", "assistant"]).select("page_index", F.col("user").cast("decimal(38,0)").alias("user"), F.col("assistant").cast("decimal(38,0)").alias("assistant"))
+    """All conversations; the SQL beside it still keeps conv_id 1 only."""
+    c = _table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("page_index"), F.col("role").alias("model"), "text")
+    return recognise.lengths_by_model(c, ["user", "assistant"], ("conv_id", "page_index")).select("conv_id", "page_index", F.col("user").cast("decimal(38,0)").alias("user"), F.col("assistant").cast("decimal(38,0)").alias("assistant"))
 
 
 @_query("SELECT CAST(conv_id AS VARCHAR) AS doc_id, string_agg('<!-- page ' || (turn + 1) || ' -->' || chr(10) || chr(10) || trim(text, ' ' || chr(10)), chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY 1")
