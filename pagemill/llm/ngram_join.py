@@ -417,6 +417,9 @@ def ngram_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = written(nodes, "nodes")
     # one row for each node: that of its smallest doc_id
     heads = every.where("n >= 3").join(nodes.select("node", "doc_id"), ["node", "doc_id"], "left_semi")
+    # sets of which no row has an id
+    unnamed = every.where("n >= 3 AND doc_id IS NULL").join(nodes.where("doc_id IS NULL").select("node"), "node", "left_semi").dropDuplicates(["node"])
+    heads = heads.unionByName(unnamed)
     sizes = every.where(F.col("n").between(3, 2 * MOST_SMALL)).groupBy("n").agg(F.count(F.lit(1)), F.sum("scan")).collect()
     boundary = boundary_of([tuple(r) for r in sizes])
     rough = components(_candidates(heads, boundary, least))

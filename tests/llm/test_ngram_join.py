@@ -77,6 +77,17 @@ def test_edges(spark):
     compare(spark, rows)
 
 
+def test_sets_without_an_id(spark):
+    # 3 and 4 meet only through texts whose rows have no id; the last two have nobody to name them
+    w = [f"w{k}" for k in range(40)]
+    rows = [(3, " ".join(w)), (None, " ".join([*w, "a", "b", "c", "d", "e"])), (4, " ".join([*w, *"abcdefghij"]))]
+    rows += [(None, rows[1][1]), (5, "q " * 9), (None, "one two three four five six seven eight nine"), (None, "one two three four five six seven eight nine ten"), (None, None)]
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = brute.jaccard_components(rows)
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=str) == want and (4, 46, 3) in want
+    assert sorted(r.n_links for r in got if r.n_shingles in (5, 6)) == [1, 1]
+
+
 def test_empty_table_and_extra_columns(spark):
     assert ngram_join.ngram_components(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([(1, "a b c d e f", "k", 2.0), (2, "a b c d e f", "l", 3.0), (3, None, "m", None)], "doc_id long, text string, node string, n double")
