@@ -39,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bits_of, few_large_tasks, has_bits, spread_join, table, written
@@ -401,11 +401,23 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from owned()
 
 
+def _node_of(text: str) -> Column:
+    """The node of a text's set, 0 for an empty one."""
+
+    @F.arrow_udf("long")
+    def node(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts.cast(pa.string())], ["text"])
+        found = [digest for *_, digest in _set_rows(batch, np.zeros(1, np.uint8))]
+        return pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
+
+    return node(text)
+
+
 def ngram_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, pairs) of docs (doc_id, text).
 
-    rows: doc_id, n_shingles, component_id, copies (documents with the same set) and n_links (other documents that this
-    one links with, those of its own set among them) for every row of docs.
+    rows: doc_id, n_shingles, component_id, copies (documents with the same set), n_links (other documents that this one
+    links with, those of its own set among them) and node (its set) for every row of docs.
     pairs: doc_id, other_id, n_shingles, other_shingles, n_shared, copies, other_copies for every link of two distinct
     sets, each link once and each set by its smallest doc_id.
     """
@@ -435,15 +447,15 @@ def ngram_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = written(named, "named")
     # copies of one set may be a large share of all rows
     out = spread_join(every.select("doc_id", "n", "node"), named, "node", "copies", "left")
-    rows = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "node")
     ids = members.select("node", "doc_id")
     pairs = links.join(ids.withColumnsRenamed({"node": "a"}), "a").join(ids.withColumnsRenamed({"node": "b", "doc_id": "other_id"}), "b")
     return rows, pairs.select("doc_id", "other_id", F.col("na").alias("n_shingles"), F.col("nb").alias("other_shingles"), "n_shared", F.col("a_copies").alias("copies"), F.col("b_copies").alias("other_copies"))
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
-    """The rows of ngram_join."""
-    return ngram_join(docs)[0]
+    """The rows of ngram_join without their node."""
+    return ngram_join(docs)[0].drop("node")
 
 
 def ngram_pairs(docs: DataFrame) -> DataFrame:
@@ -454,11 +466,23 @@ def ngram_pairs(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that name their component, with all their columns; rows of an empty set or a null doc_id stay.
 
-    Rows that repeat the doc_id that stays are that document and stay with it.
+    Rows that repeat the doc_id that stays are that document and stay with it; of unlike texts that share an id only those
+    go whose own component has another name.
     """
+    rows = ngram_join(docs)[0].where("doc_id IS NOT NULL")
+    goes = (F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))
     # the ids of the rows that go are few; only rows that have one may be dropped
-    gone = ngram_components(docs).where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    ids = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_and(goes).alias("_all"), F.bool_or(goes).alias("_some")).where("_some")
+    ids = written(ids, "gone")
+    own = docs["doc_id"].cast("long")
+    kept = docs.join(ids, own == ids["_id"], "left_anti")
+    # ids of which some rows go and some stay: which, their sets tell
+    mixed = ids.where("NOT _all").select("_id")
+    if mixed.isEmpty():
+        return kept
+    gone = rows.where(goes).select(F.col("doc_id").alias("_gone"), F.col("node").alias("_set")).distinct()
+    split = docs.join(mixed, own == mixed["_id"], "left_semi").withColumn("_node", _node_of("text"))
+    return kept.unionByName(split.join(gone, (F.col("doc_id").cast("long") == gone["_gone"]) & (F.col("_node") == gone["_set"]), "left_anti").drop("_node"))
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:

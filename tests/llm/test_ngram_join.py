@@ -94,6 +94,14 @@ def test_empty_table_and_extra_columns(spark):
     assert sorted(map(tuple, ngram_join.one_of_each(df).collect()), key=str) == [(1, "a b c d e f", "k", 2.0), (3, None, "m", None)]
 
 
+def test_one_of_each_of_shared_ids(spark):
+    # 5 stands on a copy of 1's text, on the text that names 5 and 7, on one of its own and on an empty one; 6 on copies only
+    w = [" ".join(f"{c}{k}" for k in range(20)) for c in "abcd"]
+    rows = [(1, w[0]), (5, w[0]), (5, w[1]), (7, w[1]), (5, w[2]), (5, None), (6, w[0]), (6, w[1]), (8, w[3]), (None, w[0])]
+    got = ngram_join.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, w[0]), (5, w[1]), (5, w[2]), (5, None), (8, w[3]), (None, w[0])], key=str)
+
+
 def test_threshold_is_met_exactly(spark):
     # 7 shingles each, 6 shared: 6 / 8 = 0.75
     w = [f"w{k}" for k in range(12)]
