@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bits_of, few_large_tasks, has_bits, spread_join, table, written
-from .components import components
+from .components import components, roots
 from .shingles import HASH_BITS, MASK, blocks, buffers, mix, ordered_sets
 
 #: Cells of the sketch, and the pieces in which it travels (16 MB of counts reach the driver, 4 MB each task).
@@ -362,10 +362,12 @@ def _group_links(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
 
 #: A link: its two nodes, shingles of both, copies and shingles of each.
 _LINK = "a long, b long, n_shared long, a_copies long, b_copies long, na long, nb long"
+#: A node that has links in a group: the first node that they join it to there, and the documents that they lead to.
+_EDGE = "a long, b long, others long"
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group: the links that each group owns."""
+def _links(batches: Iterator[pa.RecordBatch], pairs: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group: the links that each group owns, or a row for each of its nodes that has some."""
     last, nodes, copies, second, sets = None, [], [], [], []
 
     def owned() -> Iterator[pa.RecordBatch]:
@@ -379,6 +381,13 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = (side[a] != side[b]) | (last[1:3] == last[3:5])
         a, b, shared = a[mine], b[mine], shared[mine]
         n, c = np.array([len(s) for s in own], np.int64), np.array(copies, np.int64)[first]
+        if not pairs:
+            others = np.zeros(len(ids), np.int64)
+            np.add.at(others, a, c[b])
+            np.add.at(others, b, c[a])
+            some = np.flatnonzero(others)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[roots(a, b, len(ids))[some]]), pa.array(others[some])], ["a", "b", "others"])
+            return
         for at in range(0, len(a), 1 << 16):
             x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[x], ids[y], shared[at : at + (1 << 16)], c[x], c[y], n[x], n[y])], [f.split()[0] for f in _LINK.split(", ")])
@@ -419,7 +428,8 @@ def ngram_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows: doc_id, n_shingles, component_id, copies (documents with the same set), n_links (other documents that this one
     links with, those of its own set among them) and node (its set) for every row of docs.
     pairs: doc_id, other_id, n_shingles, other_shingles, n_shared, copies, other_copies for every link of two distinct
-    sets, each link once and each set by its smallest doc_id.
+    sets, each link once and each set by its smallest doc_id.  They grow with the square of a group's sets and are made
+    only when they are read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     level, least = levels(sketch(docs))
@@ -438,18 +448,18 @@ def ngram_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = written(rough.join(nodes, "node"), "members")
     sets = _wanted_sets(docs, members)
     met = _grouped(members).join(sets, "node").repartition("group").sortWithinPartitions("group", "node")
-    links = written(met.select("group", "node", "copies", "second", "shingles").mapInArrow(_links, _LINK), "links")
+    met = met.select("group", "node", "copies", "second", "shingles")
+    links = written(met.mapInArrow(lambda b: _links(b, False), _EDGE), "links")
     final = components(links).join(nodes.select("node", "doc_id"), "node")
     names = final.groupBy("root").agg(F.min("doc_id").alias("component"))
-    both = links.select(F.col("a").alias("node"), F.col("b_copies").alias("others")).unionByName(links.select(F.col("b").alias("node"), F.col("a_copies").alias("others")))
-    linked = final.join(names, "root").join(both.groupBy("node").agg(F.sum("others").alias("others")), "node").select("node", "component", "others")
+    linked = final.join(names, "root").join(links.groupBy(F.col("a").alias("node")).agg(F.sum("others").alias("others")), "node").select("node", "component", "others")
     named = nodes.select("node", "doc_id", "copies").join(linked, "node", "left").select("node", "copies", F.coalesce("component", "doc_id").alias("component"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     named = written(named, "named")
     # copies of one set may be a large share of all rows
     out = spread_join(every.select("doc_id", "n", "node"), named, "node", "copies", "left")
     rows = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "node")
     ids = members.select("node", "doc_id")
-    pairs = links.join(ids.withColumnsRenamed({"node": "a"}), "a").join(ids.withColumnsRenamed({"node": "b", "doc_id": "other_id"}), "b")
+    pairs = met.mapInArrow(lambda b: _links(b, True), _LINK).join(ids.withColumnsRenamed({"node": "a"}), "a").join(ids.withColumnsRenamed({"node": "b", "doc_id": "other_id"}), "b")
     return rows, pairs.select("doc_id", "other_id", F.col("na").alias("n_shingles"), F.col("nb").alias("other_shingles"), "n_shared", F.col("a_copies").alias("copies"), F.col("b_copies").alias("other_copies"))
 
 
