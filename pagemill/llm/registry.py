@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query -> (module, name of its SQL there)
 SQL = {
+    "op3_mixing": ("mixing", "OP3_SQL"),
     "op4_chat": ("chat", "OP4_SQL"),
     "op8_warc": ("warc", "OP8_SQL"),
 }

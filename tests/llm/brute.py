@@ -67,3 +67,44 @@ def repeated_bytes(docs, length=100):
         kept = bytes(c for c, g in zip(raw, gone, strict=True) if not g)
         out.append((doc_id, len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def shared_out(budget: float, children: list[tuple[float, float]]) -> list[float]:
+    """Parts of a budget for children (weight, capacity): by weight, none above its capacity, shortages to siblings."""
+    parts, left = [0.0] * len(children), min(budget, sum(c for _, c in children))
+    open_ = [k for k, (_, c) in enumerate(children) if c > 0]
+    while open_ and left > 1e-9:
+        weight = sum(children[k][0] for k in open_)
+        share = {k: left * (children[k][0] / weight if weight > 0 else 1 / len(open_)) for k in open_}
+        full = [k for k in open_ if share[k] >= children[k][1] - parts[k]]
+        if not full:
+            for k in open_:
+                parts[k] += share[k]
+            return parts
+        for k in full:
+            left -= children[k][1] - parts[k]
+            parts[k] = children[k][1]
+        open_ = [k for k in open_ if k not in set(full)]
+    return parts
+
+
+def budgets(leaves: dict[tuple[str, ...], int], budget: float, weights: dict[tuple[str, ...], float], epochs: int) -> dict[tuple[str, ...], float]:
+    """The tokens that each leaf is to give."""
+    out: dict[tuple[str, ...], float] = {}
+
+    def down(node: tuple[str, ...], tokens: float, below: dict[tuple[str, ...], int]) -> None:
+        depth = len(node)
+        if node in below:
+            out[node] = tokens
+            return
+        families: dict[tuple[str, ...], dict] = {}
+        for leaf, n in below.items():
+            families.setdefault(leaf[: depth + 1], {})[leaf] = n
+        names = sorted(families)
+        parts = shared_out(tokens, [(weights.get(x, 1.0), float(sum(families[x].values()) * epochs)) for x in names])
+        for x, part in zip(names, parts, strict=True):
+            down(x, part, families[x])
+
+    if leaves:
+        down((), budget, leaves)
+    return out

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pagemill.llm import chat, mixing, token_counts, warc
 from pagemill.llm.common import scratch
 
+from . import brute
+
 DOC = "doc_id long, text string"
 TOKENIZERS = "/opt/tokenizers"
 
@@ -163,23 +165,42 @@ def test_chat_plan_is_native(spark):
 # -- mixing -----------------------------------------------------------------------------------
 
 
-def test_shares_and_shortages():
-    assert mixing.shared_out(10, [(1, 100), (1, 100)]) == [5, 5]
-    assert mixing.shared_out(10, [(1, 2), (1, 100), (2, 3)]) == [2, 5, 3]
-    assert mixing.shared_out(10, [(0, 100), (1, 4)]) == [6, 4]
-    assert mixing.shared_out(10, [(1, 3), (1, 3)]) == [3, 3]
+def table_budgets(spark, leaves, budget, weights, epochs):
+    df = spark.createDataFrame([(*k, v) for k, v in leaves.items()], "domain string, lang string, tokens long")
+    found = mixing.budgets(df, ("domain", "lang"), budget / max(1, sum(leaves.values())), weights, epochs).collect()
+    return {(r.domain, r.lang): round(r.goal, 6) for r in found}
+
+
+def test_shares_and_shortages(spark):
+    families = [(10, [(1, 100), (1, 100)], [5, 5]), (10, [(1, 2), (1, 100), (2, 3)], [2, 5, 3]), (10, [(0, 100), (1, 4)], [6, 4]), (10, [(1, 3), (1, 3)], [3, 3]), (9, [(0, 100), (0, 2), (1, 1)], [6, 2, 1]), (5, [(1, 0), (2, 10)], [0, 5])]
+    for budget, children, want in families:
+        assert [round(x, 6) for x in brute.shared_out(budget, children)] == want
+        df = spark.createDataFrame([("f", f"c{k}", float(w), float(c), float(budget)) for k, (w, c) in enumerate(children)], "family string, name string, weight double, capacity double, budget double")
+        assert [round(r.part, 6) for r in mixing.shared_out(df, ["family"], ["family", "name"]).orderBy("name").collect()] == want
     leaves = {("a", "x"): 10, ("a", "y"): 1000, ("b", "x"): 20}
-    got = mixing.budgets(leaves, 300, {}, 1)
     # a's short leaf gives to its sibling first; b's shortage goes up to a
-    assert got == {("a", "x"): 10, ("a", "y"): 270, ("b", "x"): 20}
+    want = {("a", "x"): 10, ("a", "y"): 270, ("b", "x"): 20}
+    assert brute.budgets(leaves, 300, {}, 1) == want
+    assert table_budgets(spark, leaves, 300, {}, 1) == want
+
+
+def test_budgets_equal_plain_version(spark):
+    rng = random.Random(4)
+    for _ in range(4):
+        leaves = {(f"d{rng.randrange(4)}", f"l{rng.randrange(9)}"): rng.choice([0, 1, 7, 50, 900]) for _ in range(20)}
+        weights = {(f"d{k}",): rng.choice([0.0, 0.5, 2.0, 5.0]) for k in range(3)} | {("d1", "l1"): 4.0, ("d2", "l2"): 0.0}
+        budget = rng.choice([0.1, 0.6, 1.7]) * sum(leaves.values())
+        want = {k: round(v, 6) for k, v in brute.budgets(leaves, budget, weights, 2).items()}
+        assert table_budgets(spark, leaves, budget, weights, 2) == want
 
 
-def plain_mix(small, weights, share, epochs, seed, h):
+def plain_mix(small, weights, share, epochs, seed):
     leaves = {}
     for row in small:
         leaves.setdefault(row[1:4], []).append(row)
     tokens = {k: sum(r[4] for r in v) for k, v in leaves.items()}
-    goal = mixing.budgets(tokens, share * sum(tokens.values()), weights, epochs)
+    goal = brute.budgets(tokens, share * sum(tokens.values()), weights, epochs)
+    place = lambda e, d: hashlib.md5(f"{seed}:{e}:{'' if d is None else d}".encode()).hexdigest()[:15]
     out = []
     for leaf, own in leaves.items():
         if not tokens[leaf]:
@@ -188,7 +209,7 @@ def plain_mix(small, weights, share, epochs, seed, h):
         rest = int(goal[leaf] - full * tokens[leaf])
         out += [(*r[:4], e, r[4]) for e in range(full) for r in own]
         total = 0
-        for r in sorted(own, key=lambda r: (h(full, r[0]), r[0], r[4])) if rest > 0 else ():
+        for r in sorted(own, key=lambda r: (place(full, r[0]), r[0] or 0, r[4])) if rest > 0 else ():
             total += r[4]
             if total > rest:
                 break
@@ -196,33 +217,23 @@ def plain_mix(small, weights, share, epochs, seed, h):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("rows", [20, 20_000])
-def test_mix_equals_plain_version(spark, monkeypatch, rows):
-    monkeypatch.setattr(mixing, "RANGE_ROWS", rows)
+@pytest.mark.parametrize("copies", [2, 1 << 16])
+def test_mix_equals_plain_version(spark, monkeypatch, copies):
+    """Any size of leaf has one order; null and repeated ids, blank texts and clashing names come along."""
+    monkeypatch.setattr(mixing, "COPIES", copies)
     rng = random.Random(9)
     data = []
-    for k in range(700):
+    for k in range(3000):
         source = "src0" if rng.random() < 0.35 else f"src{rng.randrange(1, 7)}"
         data.append((k, rng.choice(["web", "books"]), rng.choice(["en", "de", None]), source, " ".join("w" * 3 for _ in range(rng.randrange(0, 40)))))
     data += [(1, "web", "en", "src0", None), (2, "books", "xx", None, "one two")]
-    df = spark.createDataFrame(data, "doc_id long, domain string, lang string, source string, text string").withColumn("full", F.lit("clash"))
+    data += [(None, "web", "en", "src0", "w " * (k % 5)) for k in range(400)] + [(7, "web", "de", "src1", "a b c")] * 300
+    df = spark.createDataFrame(data, "doc_id long, domain string, lang string, source string, text string").withColumn("full", F.lit("clash")).withColumn("weight", F.lit(3))
     weights = {("books",): 3.0, ("books", "en"): 2.0, ("web", "de"): 0.0}
-    got = sorted(((r.doc_id, r.domain, r.lang, r.source, r.epoch, r.n_tokens) for r in mixing.mixed(df, weights=weights, share=0.9, epochs=3).collect()), key=str)
     small = [(d, a, b or "", c or "", len((t or "").split())) for d, a, b, c, t in data]
-    ids = spark.createDataFrame([(e, d) for e in range(4) for d in {r[0] for r in small}], "e int, d long")
-    hashes = {(r.e, r.d): r.h for r in ids.withColumn("h", F.pmod(F.shiftrightunsigned(F.xxhash64(F.lit(mixing.SEED), "e", "d"), 33), F.lit(1 << 31))).withColumn("full_h", F.xxhash64(F.lit(mixing.SEED), "e", "d")).select("e", "d", F.struct("h", "full_h").alias("h")).collect()}
-    want = plain_mix(small, weights, 0.9, 3, mixing.SEED, (lambda e, d: range_order(hashes[e, d], len(small), rows)))
-    leaf = lambda out: {k: sum(r[5] for r in out if r[1:4] == k) for k in {r[1:4] for r in out}}
-    assert leaf(got).keys() == leaf(want).keys()
-    if rows > len(small):  # one range a leaf: the order is the hash alone
-        assert got == want
-    goal = mixing.budgets({k: sum(r[4] for r in small if r[1:4] == k) for k in {r[1:4] for r in small}}, 0.9 * sum(r[4] for r in small), weights, 3)
-    longest = max(r[4] for r in small)
-    assert all(goal[k] - longest <= n <= goal[k] for k, n in leaf(got).items())
-
-
-def range_order(h, n, rows):
-    return h.full_h
+    for share in (0.35, 0.9):
+        got = sorted(((r.doc_id, r.domain, r.lang, r.source, r.epoch, r.n_tokens) for r in mixing.mixed(df, weights=weights, share=share, epochs=3).collect()), key=str)
+        assert got == plain_mix(small, weights, share, 3, mixing.SEED)
 
 
 def test_mix_of_nothing(spark):
