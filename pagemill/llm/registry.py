@@ -8,6 +8,7 @@ from importlib import import_module
 SQL = {
     "op3_mixing": ("mixing", "OP3_SQL"),
     "op4_chat": ("chat", "OP4_SQL"),
+    "op6_repeats": ("repeats", "OP6_SQL"),
     "op8_warc": ("warc", "OP8_SQL"),
 }
 #: query -> module of this package that holds a function of that name
