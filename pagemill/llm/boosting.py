@@ -1,4 +1,11 @@
-"""Gradient-boosted trees for binary labels, in numpy, with Platt calibration."""
+"""Gradient-boosted trees for binary labels, in numpy, with Platt calibration.
+
+Of eight rows six make the trees, one the calibration and one the threshold, so
+each of them is judged on rows that it has not seen.  No rows to score give no
+scores; a feature that never varies splits nothing; ties between splits go to
+the first feature and the lowest cut; no threshold that reaches the precision
+is one above 1, which selects nothing.  Features must be finite numbers.
+"""
 
 from __future__ import annotations
 
@@ -16,9 +23,8 @@ class BoostedTrees:
         self.rounds, self.depth, self.rate, self.bins, self.l2 = rounds, depth, rate, bins, l2
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
-        """Every fourth row is kept out of the trees and calibrates the scores."""
-        held = np.arange(len(y)) % 4 == 3
-        a, b = x[~held], y[~held].astype(float)
+        part = np.arange(len(y)) % 8
+        a, b = x[part < 6], y[part < 6].astype(float)
         self.cuts = [np.unique(np.quantile(a[:, j], np.linspace(0, 1, self.bins + 1)[1:-1], method="lower")) for j in range(x.shape[1])]
         binned = np.stack([np.searchsorted(c, a[:, j], "left") for j, c in enumerate(self.cuts)], 1)
         raw, self.trees = np.zeros(len(b)), []
@@ -45,7 +51,7 @@ class BoostedTrees:
             leaf = self.rate * np.bincount(node, g, n) / (np.bincount(node, h, n) + self.l2)
             raw += leaf[node]
             self.trees.append((splits, leaf))
-        self.slope, self.offset = self._platt(self.raw(x[held]), y[held].astype(float))
+        self.slope, self.offset = self._platt(self.raw(x[part == 6]), y[part == 6].astype(float))
         return self
 
     @staticmethod
@@ -74,10 +80,17 @@ class BoostedTrees:
         return _sigmoid(self.slope * self.raw(x) + self.offset)
 
     def threshold(self, x: np.ndarray, y: np.ndarray, precision: float = 0.99) -> float:
-        """The smallest calibrated score at which the kept-out rows reach this precision."""
-        held = np.arange(len(y)) % 4 == 3
-        p, y = self.score(x[held]), y[held]
+        """Midway between the lowest score at which these rows (none of them fitted) reach this precision and the next one; 0.5 at least."""
+        p = self.score(x)
         order = np.argsort(-p, kind="stable")
         right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
         good = np.flatnonzero(right >= precision)
-        return float(max(0.5, p[order][good[-1]])) if len(good) else 1.01
+        if not len(good):
+            return 1.01
+        p, k = p[order], good[-1]
+        return float(max(0.5, (p[k] + p[min(k + 1, len(p) - 1)]) / 2))
+
+
+def unseen(n: int) -> np.ndarray:
+    """Which of n fitted rows neither trees nor calibration have used."""
+    return np.arange(n) % 8 == 7

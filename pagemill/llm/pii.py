@@ -10,14 +10,18 @@ spans of their kind and of each other (higher score first, then start).
 
 The trees learn from TRAINING_CANDIDATES invented candidates a kind, built
 from a seed; no row of the corpus is used.  Offsets count code points, end
-exclusive.  Null or empty text has no span; rows repeat as given; other
-columns are left alone by `redact` and dropped by `pii_spans`.
+exclusive.  Null or empty text has no span; rows repeat as given; an empty
+table gives no rows; other columns are left alone by `redact` and dropped by
+`pii_spans`.  Texts are searched whole; the work grows with a text's length
+(candidates look at most a few hundred characters around them), so a text of
+many MB takes seconds.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,16 +29,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .boosting import BoostedTrees
+from .boosting import BoostedTrees, unseen
 
 KINDS = ("email", "ip", "card", "phone")
 TRAINING_CANDIDATES = 1500
+#: Candidates of a text that are scored at a time.
+SCORED = 20_000
 SEED = 9
 
 # The base patterns.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# a match never begins inside a run of digits; saying so keeps long runs from being tried digit by digit
+_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -42,9 +49,13 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _ANY = re.compile(r"[0-9@]|[\[(]at[\])]|\bdot\b")
 _SPELLED = re.compile(r"@|[\[(]at[\])]|\bdot\b")
 
-# High-recall generators, each with the kind that it proposes.
+# E-mail candidates go from each sign outwards, as far as an address may reach (RFC 5321: 64 and 255 characters).
+_AT = re.compile(r"[ ]?(?:@|\[at\]|\(at\)|\bat\b)[ ]?")
+_SPELLED_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:[ ]?(?:\.|\[dot\]|\(dot\)|\bdot\b)[ ]?[A-Za-z0-9-]+)+")
+LOCAL_CHARS, DOMAIN_CHARS = 64, 255
+
+# High-recall generators of the other kinds; none looks further than a few dozen characters.
 _PROPOSE = {
-    "email": [re.compile(r"[A-Za-z0-9._%+-]+[ ]?(?:@|\[at\]|\(at\)|\bat\b)[ ]?[A-Za-z0-9-]+(?:[ ]?(?:\.|\[dot\]|\(dot\)|\bdot\b)[ ]?[A-Za-z0-9-]+)+")],
     "ip": [re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])"), re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])")],
     "card": [re.compile(r"(?<![0-9])[0-9]{16,19}(?![0-9])"), re.compile(r"(?=((?<![0-9])[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}(?![0-9])))"), re.compile(r"(?<![0-9])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])")],
     "phone": [re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"), re.compile(r"\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"), re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")],
@@ -86,16 +97,42 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     }
 
 
+def _spelled_emails(text: str) -> list[tuple[int, int]]:
+    found = []
+    for m in _AT.finditer(text):
+        start = m.start()
+        least = max(0, start - LOCAL_CHARS)
+        while start > least and text[start - 1] in _LOCAL_CHARS:
+            start -= 1
+        if start == m.start() or (start == least > 0 and text[start - 1] in _LOCAL_CHARS):
+            continue
+        until = m.end() + DOMAIN_CHARS
+        near = text[m.end() : until]
+        if ("." in near or "dot" in near) and (d := _SPELLED_DOMAIN.match(text, m.end(), until)):
+            found.append((start, d.end()))
+    return found
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    found = set()
+    found = {("email", *s) for s in _spelled_emails(text)} if _SPELLED.search(text) else set()
     for kind, patterns in _PROPOSE.items():
-        if kind == "email" and not _SPELLED.search(text):
-            continue
         for p in patterns:
             found.update((kind, *(m.span(1) if m.re.groups and m.end() == m.start() else m.span())) for m in p.finditer(text))
     return sorted(found)
 
 
+class _Clear:
+    """Spans that don't overlap, in order; whether another one is clear of them is a search by halves."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.spans = list(spans)
+
+    def of(self, start: int, end: int) -> int | None:
+        """Where (start, end) may be put in, None if it overlaps."""
+        k = bisect_left(self.spans, (end,))
+        return k if k == 0 or self.spans[k - 1][1] <= start else None
+
+
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
     s, d = text[start:end], _digits(text[start:end])
     before, after = text[max(0, start - 32) : start], text[end : end + 1]
@@ -115,8 +152,9 @@ def _invented(rng: np.random.Generator, kind: str, real: bool) -> tuple[str, str
     cue = rng.choice(_CUES[kind]) + " " if rng.random() < 0.4 else word() + " "
     if kind == "email":
         if real:
-            at, dot = [("@", "."), (" @ ", "."), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" at ", " dot ")][rng.integers(5)]
-            return cue, f"{word()}.{n(2)}{at}{word()}{dot}{rng.choice(['com', 'org', 'example', 'net'])}"
+            at, dot = [("@", "."), (" @ ", "."), ("[at]", "[dot]"), ("(at)", "(dot)"), (" [at] ", " [dot] "), (" (at) ", " (dot) "), (" at ", " dot ")][rng.integers(7)]
+            name = [f"{word()}.{n(2)}", word(), f"{word()}_{word()}"][rng.integers(3)]
+            return cue, f"{name}{at}{word()}{dot}{rng.choice([word() + dot, ''], p=[0.3, 0.7])}{rng.choice(['com', 'org', 'example', 'net', 'de', 'uk'])}"
         return word() + " ", [f"{word()} at {word()}.{word().capitalize()}", f"{word()} at {n(1)}.{n(2)}", f"{word()} at {word()} . {word()}"][rng.integers(3)]
     if kind == "ip":
         if real:
@@ -151,7 +189,8 @@ def trained(precision: float = 0.99) -> tuple[BoostedTrees, dict[str, float]]:
     order = rng.permutation(len(rows))
     x, y = np.array(rows)[order], np.array(labels)[order]
     model = BoostedTrees().fit(x, y)
-    return model, {kind: model.threshold(x[x[:, 0] == k], y[x[:, 0] == k], precision) for k, kind in enumerate(KINDS)}
+    held = unseen(len(y))
+    return model, {kind: model.threshold(x[held & (x[:, 0] == k)], y[held & (x[:, 0] == k)], precision) for k, kind in enumerate(KINDS)}
 
 
 def find(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
@@ -160,16 +199,21 @@ def find(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[str,
     if not text or not _ANY.search(text):
         return nothing, nothing
     base = base_spans(text)
-    fresh = [c for c in candidates(text) if not any(c[1] < e and s < c[2] for s, e in base[c[0]])]
+    taken = {k: _Clear(v) for k, v in base.items()}
+    fresh = [c for c in candidates(text) if taken[c[0]].of(c[1], c[2]) is not None]
     if not fresh:
         return base, base
     model, limits = trained()
-    scores = model.score(np.array([features(text, *c) for c in fresh]))
-    spans = {k: list(v) for k, v in base.items()}
-    for p, (kind, start, end) in sorted(zip(-scores, fresh, strict=True)):
-        if -p >= limits[kind] and not any(start < e and s < end for s, e in spans[kind]):
-            spans[kind].append((start, end))
-    return base, {k: sorted(v) for k, v in spans.items()}
+    chosen = []
+    for at in range(0, len(fresh), SCORED):
+        part = fresh[at : at + SCORED]
+        scores = model.score(np.array([features(text, *c) for c in part]))
+        chosen += [(-p, *c) for p, c in zip(scores.tolist(), part, strict=True) if p >= limits[c[0]]]
+    for _, kind, start, end in sorted(chosen):
+        k = taken[kind].of(start, end)
+        if k is not None:
+            taken[kind].spans.insert(k, (start, end))
+    return base, {k: v.spans for k, v in taken.items()}
 
 
 def _joined(spans: dict[str, list[tuple[int, int]]]) -> str:
