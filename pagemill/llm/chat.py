@@ -15,7 +15,9 @@ One shuffle, by conversation: message folds, offsets and rendering all use it.
 A conversation is one output string, so it has to fit into one row.  Null text
 is empty, a null role is the empty role, a null conv_id is a conversation of
 its own.  Rows with the same turn stand by role, then text; repeated rows are
-turns of their own.  An empty table gives no rows.
+turns of their own.  An empty table gives no rows.  Roles and texts may be of
+any length and hold any characters; columns besides those named don't matter,
+whatever they are called.
 """
 
 from __future__ import annotations
@@ -90,11 +92,13 @@ def parse(formatted: Column) -> Column:
             return F.substring(turn, F.lit(len(head) + 1), F.char_length(turn) - len(head) - len(tail))
 
         inner = between(*OTHER)
-        at = r"(?s)^((?:[^\\>]|\\.)*)>(.*)$"
+        # the role ends at the first > without a backslash: pairs of a backslash and what it escapes are blotted out, in order
+        blotted = F.replace(F.replace(inner, F.lit("\\\\"), F.lit("__")), F.lit("\\>"), F.lit("__"))
+        ends = F.instr(blotted, ">")
         struct = lambda role, text: F.struct(role.alias("role"), unescaped(text).alias("text"))
         return F.coalesce(
             *(F.when(F.startswith(turn, F.lit(OPEN[r])), struct(F.lit(r), between(OPEN[r], CLOSE[r]))) for r in OPEN),
-            struct(unescaped(F.regexp_extract(inner, at, 1)), F.regexp_extract(inner, at, 2)),
+            struct(unescaped(F.substring(inner, F.lit(1), ends - 1)), F.substring(inner, ends + 1, F.char_length(inner))),
         )
 
     return F.transform(F.regexp_extract_all(formatted, F.lit(_TURN), 0), one)
