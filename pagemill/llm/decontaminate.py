@@ -9,22 +9,27 @@ stands, Myers' bit-parallel search gives the least edit distance of the item to
 a passage around it.
 
 Items reach the tasks as a broadcast of at most BLOCK_CHARS characters; a
-larger benchmark goes in blocks of that size, one pass each.  Null or empty
-texts and items match nothing, equal items are reported each, repeated
-documents too.  Texts are searched whole.
+larger benchmark goes in blocks of that size, one pass and one written table
+each, so the driver and the tasks never hold more than one block.  Null or
+empty texts and items match nothing, equal items are reported each, repeated
+documents too.  Texts are searched whole.  Of passages of equal distance the
+first found is told.  An empty table on either side gives no rows (or all
+documents, where those without items are asked for); other columns of documents
+go along there, whatever they are called.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import reduce
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import scratch, table, written
 
 ERROR_RATE = 0.06
 BLOCK_CHARS = 4_000_000
@@ -123,10 +128,33 @@ class Matcher:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """doc_id, item_id, distance, start, end: a row for each item that a text holds within its error budget."""
+
+    def find(matcher: Matcher, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                for k, (distance, start, end) in matcher.find(text.as_py()).items():
+                    rows.append((doc_id.as_py(), matcher.items[k][0], distance, start, end))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "item_id", "distance", "start", "end"])
+
     spark = docs.sparkSession
-    total = benchmark.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    n = -(-total // BLOCK_CHARS) or 1
-    return reduce(DataFrame.unionByName, (_block(docs, _items(benchmark, k, n), rate) for k in range(n))) if total else spark.createDataFrame([], _SCHEMA)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n = _n_blocks(benchmark)
+    if n == 0:
+        return spark.createDataFrame([], _SCHEMA)
+    if n == 1:
+        return docs.mapInArrow(_with_matcher(spark, _items(benchmark, 0, 1), rate, find)[0], _SCHEMA)
+    path = scratch(spark, "leaks")
+    for k in range(n):
+        run, shared = _with_matcher(spark, _items(benchmark, k, n), rate, find)
+        docs.mapInArrow(run, _SCHEMA).write.mode("append").parquet(path)
+        shared.destroy()
+    return spark.read.schema(_SCHEMA).parquet(path)
+
+
+def _n_blocks(benchmark: DataFrame) -> int:
+    return -(-(benchmark.agg(F.sum(F.char_length("text"))).first()[0] or 0) // BLOCK_CHARS)
 
 
 def _items(benchmark: DataFrame, k: int, n: int) -> list[tuple[int, str]]:
@@ -134,36 +162,40 @@ def _items(benchmark: DataFrame, k: int, n: int) -> list[tuple[int, str]]:
     return sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
-def _block(docs: DataFrame, items: list[tuple[int, str]], rate: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+#: The matcher that a worker has built last, with the name of its items: tasks of one block share it.
+_BUILT: list = []
+
+
+def _built(name: str, shared: Broadcast, rate: float) -> Matcher:
+    if not _BUILT or _BUILT[0] != name:
+        _BUILT[:] = [name, Matcher(shared.value, rate)]
+    return _BUILT[1]
+
+
+def _with_matcher(spark: SparkSession, items: list[tuple[int, str]], rate: float, work: Callable) -> tuple[Callable, Broadcast]:
+    """(function of batches that calls work(matcher, batches), broadcast of the items)."""
+    shared, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value, rate)
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                for k, (distance, start, end) in matcher.find(text.as_py()).items():
-                    rows.append((doc_id.as_py(), matcher.items[k][0], distance, start, end))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "item_id", "distance", "start", "end"])
+        yield from work(_built(name, shared, rate), batches)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCHEMA)
+    return run, shared
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """The rows of docs whose text holds no item, with all their columns."""
-    total = benchmark.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    n = -(-total // BLOCK_CHARS) or 1
-    at, kept = docs.columns.index("text"), docs
-    for k in range(n if total else 0):
-        shared = docs.sparkSession.sparkContext.broadcast(_items(benchmark, k, n))
+    n, at, kept, spark = _n_blocks(benchmark), docs.columns.index("text"), docs, docs.sparkSession
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, rate)
-            for batch in batches:
-                yield batch.filter(pa.array([not matcher.find(t.as_py()) for t in batch.column(at)], pa.bool_()))
+    def clean(matcher: Matcher, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not matcher.find(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
+    for k in range(n):
+        run, shared = _with_matcher(spark, _items(benchmark, k, n), rate, clean)
         kept = kept.mapInArrow(run, docs.schema)
+        if n > 1:
+            kept = written(kept, "clean")
+            shared.destroy()
     return kept
 
 
