@@ -13,17 +13,42 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where the session names none, as in tests."""
+    """The folder in spark.checkpoint.dir. Where the session names none, a temporary one in local mode; a cluster must name one."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="pagemill-"))
         folder = sc.getCheckpointDir()
     return folder.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/pagemill/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's own part of the shared folder, which goes when the driver ends (or by `clear`)."""
+    own = f"{shared_folder(spark)}/pagemill/{spark.sparkContext.applicationId}"
+    if own not in _OWNED:
+        fs, path = _file_system(spark, own)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _OWNED.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+_OWNED: set[str] = set()
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes what this application's operators have written so far; results that were not stored elsewhere end with it."""
+    for own in [o for o in _OWNED if o.endswith(spark.sparkContext.applicationId)]:
+        fs, path = _file_system(spark, own)
+        fs.delete(path, True)
+        _OWNED.discard(own)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -79,9 +104,19 @@ def spread_join(rows: DataFrame, groups: DataFrame, key: str, count: str, how: s
 
 
 def few_large_tasks(df: DataFrame) -> DataFrame:
-    """df in fewer partitions, for tasks that each send a table of fixed size: two rounds of all cores, or 32 splits a task."""
+    """df in fewer partitions, for tasks that each send a table of fixed size: 16 rounds of all cores, or 8 splits a task."""
     n = df.rdd.getNumPartitions()
-    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, n // 32, 1))
+    return df.coalesce(max(16 * df.sparkSession.sparkContext.defaultParallelism, n // 8, 1))
+
+
+def merged_tables(parts: DataFrame, merge: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], pieces: int) -> DataFrame:
+    """Tables of fixed size in pieces (piece, content), summed by merge as a tree: 32 tasks' pieces first, then all."""
+    for fan in (32, 1024):
+        if parts.rdd.getNumPartitions() > fan:
+            near = parts.withColumn("_part", F.floor(F.spark_partition_id() / fan))
+            parts = near.repartition("piece", "_part").drop("_part").mapInArrow(merge, parts.schema)
+            break
+    return parts.repartition(pieces, "piece").mapInArrow(merge, parts.schema)
 
 
 def bits_of(words: list, n_bits: int) -> np.ndarray:

@@ -10,14 +10,19 @@ scores it; a temperature fitted on rows kept out of the fit calibrates the
 probabilities.
 
 The vectors cover all documents.  The network learns from at most
-MAX_LABELLED labelled rows (a documented bound), none with
-crc32(doc_id) mod 3 = 1; labels, lang, source and doc_id are no inputs.
+MAX_LABELLED labelled rows (a documented bound: the ids of the least
+xxhash64), none with crc32(doc_id) mod 3 = 1; labels, lang, source and doc_id are no inputs.
 Null or empty texts are the zero vector and get a score too; rows repeat as
-given; without usable labels every score is 0.5 and `predicted` is 1.
+given; without usable labels every score is 0.5 and `predicted` is 1.  A
+doc_id with several labels has the largest, one with several texts is learnt
+from the text of the least vector.  Equal texts have equal scores; long texts
+are pooled whole, block by block.  An empty table gives no rows.  Columns of
+documents go along, but for those named like the two that are added.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import few_large_tasks, table
+from .common import few_large_tasks, merged_tables, table
 from .shingles import CASED, blocks, buffers, words
 
 ROWS, DIM, NONZERO, WINDOW = 1 << 15, 32, 4, 2
@@ -69,23 +74,24 @@ def corpus_vectors(docs: DataFrame) -> np.ndarray:
             raw, off = buffers(batch.column("text"))
             for i, j in blocks(off):
                 _neighbours(total, *tokens(raw[off[i] : off[j]], off[i : j + 1] - off[i]))
-        yield _pieces(total)
+        yield _pieces({p: total[p * size : (p + 1) * size] for p in range(PIECES)})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for piece, values in zip(batch.column("piece").to_pylist(), batch.column("sums"), strict=True):
-                sums[piece] = sums.get(piece, 0) + np.frombuffer(values.as_buffer(), np.float64)
+            for piece, values in zip(batch.column("piece").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                sums[piece] = sums.get(piece, 0) + np.frombuffer(zlib.decompress(values), np.int64)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["piece", "sums"])
+            yield _pieces(sums)
 
-    def _pieces(total: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([total[p * size : (p + 1) * size].tobytes() for p in range(PIECES)], pa.binary())], ["piece", "sums"])
+    def _pieces(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+        # sums of +1 and -1: whole numbers, most of them small
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(v.astype(np.int64).tobytes(), 1) for v in sums.values()], pa.binary())], ["piece", "sums"])
 
-    parts = few_large_tasks(docs.select("text")).mapInArrow(gather, "piece int, sums binary").repartition(PIECES, "piece").mapInArrow(merge, "piece int, sums binary")
+    parts = merged_tables(few_large_tasks(docs.select("text")).mapInArrow(gather, "piece int, sums binary"), merge, PIECES)
     out = np.zeros(ROWS * DIM)
     for piece, values in parts.collect():
-        out[piece * size : (piece + 1) * size] = np.frombuffer(values, np.float64)
+        out[piece * size : (piece + 1) * size] = np.frombuffer(zlib.decompress(values), np.int64)
     out = out.reshape(ROWS, DIM)
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
@@ -172,7 +178,9 @@ def fitted(docs: DataFrame, labels: DataFrame, vectors: np.ndarray) -> Network |
             x = pooled(table_.value, *buffers(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality").cast(pa.int32()), pa.array([v.tobytes() for v in x], pa.binary())], ["doc_id", "quality", "x"])
 
-    got = sorted({r["doc_id"]: (r["doc_id"], r["quality"], bytes(r["x"])) for r in rows.mapInArrow(run, "doc_id long, quality int, x binary").collect()}.values())
+    # one row an id, so no more than MAX_LABELLED rows come, however often an id repeats
+    one = rows.mapInArrow(run, "doc_id long, quality int, x binary").groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("row"))
+    got = sorted((r["doc_id"], r["row"]["quality"], bytes(r["row"]["x"])) for r in one.collect())
     order = np.random.Generator(np.random.PCG64(SEED)).permutation(len(got))
     x, y = np.array([np.frombuffer(got[k][2]) for k in order]), np.array([got[k][1] for k in order])
     return Network().fit(x, y) if len(got) and len(set(y.tolist())) == 2 else None
