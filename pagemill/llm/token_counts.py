@@ -8,7 +8,9 @@ each missing text once, appends the new counts, and answers from the cache.
 The library cuts no text and adds no token; special strings inside a text
 count as the library's default has it.  Null text counts as empty (0 bytes,
 0 tokens), a null or repeated doc_id is carried through, other columns of the
-input don't reach the result.  An empty table gives an empty result.
+input don't reach the result, whatever they are called.  A long text is one
+call of the library; equal texts are one miss, whichever of them comes first.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -80,9 +82,11 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     digests = keyed.select("doc_id", "content", "n_bytes")
 
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    known = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).select("content", "n_tokens")
+    cache = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).select("content", "n_tokens")
     #: One row of each missing content is encoded: that of the smallest doc_id.
     groups = written(digests.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "contents")
+    # of the cache, be it of many runs, only what this run asks for is grouped
+    known = written(cache.join(groups.select("content"), "content", "left_semi").groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "known")
     chosen = groups.join(known, "content", "left_anti").select(F.col("content").alias("wanted"), "doc_id")
     misses = keyed.join(chosen, keyed.doc_id.eqNullSafe(chosen.doc_id) & (keyed.content == chosen.wanted), "left_semi").select("content", "text")
 
@@ -96,9 +100,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
                 yield pa.RecordBatch.from_arrays([pa.array([version] * len(n), pa.string()), content.slice(i, j - i), pa.array(n, pa.int64())], ["tokenizer", "content", "n_tokens"])
 
     # rows that repeat a chosen doc_id and its text are appended once
-    misses.mapInArrow(encode, CACHE_SCHEMA).dropDuplicates(["content"]).write.mode("append").option("compression", "zstd").parquet(cache_path)
-    stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    answered = groups.select("content", "copies").join(stored, "content")
+    fresh = written(misses.mapInArrow(encode, CACHE_SCHEMA).dropDuplicates(["content"]), "fresh")
+    fresh.write.mode("append").option("compression", "zstd").parquet(cache_path)
+    answered = written(groups.select("content", "copies").join(known.unionByName(fresh.select("content", "n_tokens")), "content"), "answered")
     # copies of one text may be a large share of all rows
     return spread_join(digests, answered, "content", "copies").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.lower(F.hex("content")).alias("content"))
 
