@@ -27,7 +27,9 @@ Sets are the distinct five-word shingles of whole texts; two link when
 
 Node keys are 64 bits of a digest of the set (a false merge of n distinct sets
 has a chance of n * n / 2 ** 65).  Empty sets link with nothing.  Null texts
-are empty; rows of one doc_id with unlike texts are documents that share an
+are empty; long texts give all their shingles; ties between shingles of one
+level go by hash; an empty table gives no rows; columns besides doc_id and text
+don't matter, whatever they are called; rows of one doc_id with unlike texts are documents that share an
 id; repeated rows are copies; a null doc_id never names a component unless all
 its members have none.
 """
@@ -42,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bits_of, few_large_tasks, has_bits, spread_join, table, written
+from .common import bits_of, few_large_tasks, has_bits, merged_tables, spread_join, table, written
 from .components import components, roots
 from .shingles import HASH_BITS, MASK, blocks, buffers, mix, ordered_sets
 
@@ -90,7 +92,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in sums.values()], pa.binary())], ["piece", "counts"])
 
-    parts = few_large_tasks(docs.select("text")).mapInArrow(gather, "piece int, counts binary").repartition(PIECES, "piece").mapInArrow(merge, "piece int, counts binary")
+    parts = merged_tables(few_large_tasks(docs.select("text")).mapInArrow(gather, "piece int, counts binary"), merge, PIECES)
     out = np.zeros(CELLS, np.uint32)
     for piece, counts in parts.collect():
         out[piece * size : (piece + 1) * size] = np.frombuffer(zlib.decompress(counts), np.uint32)
@@ -497,3 +499,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) BETWEEN 1 AND 4 THEN [array_to_string(words, ' ')] ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda k: array_to_string(words[k : k + 4], ' '))) END AS shingles FROM w),
+n AS (SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n FROM s),
+g AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b, shared = x.n AND shared = y.n AS same FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+component AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1),
+counted AS (SELECT a AS doc_id, count(*) AS n_links, count(*) FILTER (same) AS copies FROM links GROUP BY 1)
+SELECT doc_id, n AS n_shingles, component_id, 1 + coalesce(copies, 0) AS copies, coalesce(n_links, 0) AS n_links FROM n JOIN component USING (doc_id) LEFT JOIN counted USING (doc_id)
+"""

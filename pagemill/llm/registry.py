@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query -> (module, name of its SQL there)
 SQL = {
+    "op1_ngram_join": ("ngram_join", "OP1_SQL"),
     "op3_mixing": ("mixing", "OP3_SQL"),
     "op4_chat": ("chat", "OP4_SQL"),
     "op6_repeats": ("repeats", "OP6_SQL"),
