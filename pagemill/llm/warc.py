@@ -1,22 +1,28 @@
 """WARC records in ZIP packages, read back by ranges.
 
 Writing: each partition packs its records into packages of about PACKAGE_BYTES.
-A package is a ZIP file whose members are stored, not deflated:
-``archive/data.warc.gz`` (one gzip member a record), ``indexes/index.cdx``
-(a line a record: page id, type, digest, offset, length), and ZIP64 structures
-where sizes ask for them.  Packages are rows (package, content binary) of a
-table in the shared folder, so no executor needs another one's disk.
-
-Reading: a package is seen through ``read(offset, length)`` alone.  The reader
-finds the end record, follows the ZIP64 locator if there is one, walks the
-central directory, locates the stored members by their local headers, and
-range-reads the index and then each record.  Nothing is extracted.
+A package is a ZIP file in the shared folder whose members are stored, not
+deflated: ``archive/data.warc.gz`` (one gzip member a record),
+``indexes/index.cdx`` (a line a record: page id, type, digest, offset, length),
+and ZIP64 structures where sizes ask for them.  A table names the files of the
+tasks that came through, so what a lost executor left behind is never read.
+Where the folder is on a store that pyarrow can't open, packages are cells of
+that table instead.
+
+Reading: a package is seen through ``read(offset, length)`` alone, ranges of
+its file.  The reader finds the end record, follows the ZIP64 locator if there
+is one, walks the central directory, locates the stored members by their local
+headers, and range-reads the index and then each record.  Nothing is extracted,
+and no package is ever whole in memory.
 
 Of records with equal payloads of REVISIT_BYTES or more the smallest page_id
 is the response, the others are revisits without a payload block, naming it.
 Rows that repeat that smallest id with the same payload are responses too.  A
 null html is an empty payload; a null page_id can be a response but is never
-chosen as the one referred to unless it stands alone.
+chosen as the one referred to unless it stands alone.  A payload of any length
+that a Spark string holds is one record.  An empty table gives no packages and
+no records; columns besides page_id, url and html don't matter, whatever they
+are called.
 """
 
 from __future__ import annotations
@@ -28,12 +34,15 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty, written
+from .common import scratch, table, text_or_empty, written
 
 PACKAGE_BYTES = 4 << 20
+#: Bytes of packages that a reading task gets, about.
+TASK_BYTES = 32 << 20
 REVISIT_BYTES = 100
 
 # ZIP signatures and field layouts (PKWARE APPNOTE 6.3).
@@ -140,7 +149,7 @@ def package_records(read: Read, size: int) -> Iterator[tuple[dict[str, str], byt
 
 
 def write_packages(pages: DataFrame) -> DataFrame:
-    """page_id, url, html in; packages (package, content) out, written to the shared folder."""
+    """page_id, url, html in; (package, size, content) out, a row a package; content only where the package is no file."""
     payload = text_or_empty("html").cast("binary")
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     # only ids and digests of repeated payloads are grouped; the payloads cross one shuffle, by page_id
@@ -149,12 +158,21 @@ def write_packages(pages: DataFrame) -> DataFrame:
     revisits = small.join(first, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
     marked = keyed.withColumn("digest", F.unhex(F.sha2("payload", 256))).join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "payload", "refers_to")
 
+    folder = scratch(pages.sparkSession, "warc-files")
+    by_file = files_of(folder) is not None
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records, index, at = [], [], 0
 
         def package() -> pa.RecordBatch:
             content = zip_package([("archive/data.warc.gz", b"".join(records)), ("indexes/index.cdx", "\n".join(index).encode())])
-            return pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(content[-4096:]).hexdigest()]), pa.array([content], pa.binary())], ["package", "content"])
+            name = f"{folder}/{uuid.uuid4().hex}.zip"
+            if by_file:
+                store, path = files_of(name)
+                store.create_dir(path.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(path) as f:
+                    f.write(content)
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(content)], pa.int64()), pa.array([None if by_file else content], pa.binary())], ["package", "size", "content"])
 
         for batch in batches:
             for row in zip(*(c for c in batch.columns), strict=True):
@@ -171,7 +189,19 @@ def write_packages(pages: DataFrame) -> DataFrame:
         if records:
             yield package()
 
-    return written(marked.mapInArrow(pack, "package string, content binary"), "warc")
+    return written(marked.mapInArrow(pack, "package string, size long, content binary"), "warc")
+
+
+def files_of(path: str) -> tuple[fs.FileSystem, str] | None:
+    """(file system, path there) of a path of Spark's, None if pyarrow has no such file system."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    if path.startswith("/"):
+        return fs.LocalFileSystem(), path
+    try:
+        return fs.FileSystem.from_uri(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return None
 
 
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, block binary"
@@ -182,19 +212,27 @@ def read_packages(packages: DataFrame, blocks: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
-                view = memoryview(content.as_buffer())
+            for name, size, content in zip(*(batch.column(c) for c in ("package", "size", "content")), strict=True):
+                if content.is_valid:
+                    source = pa.BufferReader(content.as_buffer())
+                else:
+                    store, path = files_of(name.as_py())
+                    source = store.open_input_file(path)
                 rows = []
-                for f, block in package_records(lambda at, n, v=view: bytes(v[at : at + n]), len(view)):
+                for f, block in package_records(lambda at, n, s=source: s.read_at(n, at), size.as_py()):
                     kind, digest, n = f["WARC-Type"], f["WARC-Payload-Digest"].removeprefix("sha256:"), int(f["X-Payload-Length"])
                     if kind == "response":  # both figures are taken from what is stored
                         digest, n = hashlib.sha256(block).hexdigest(), len(block)
                     rows.append((int(f["X-Page-Id"]) if f["X-Page-Id"] else None, n, digest, kind, int(f["WARC-Refers-To-Page"]) if kind == "revisit" else None, block if blocks and kind == "response" else None))
+                source.close()
                 columns = list(zip(*rows, strict=True)) or [[]] * 6
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in _READ.split(", ")])
 
-    return packages.select("content").mapInArrow(run, _READ)
+    # the table of names is small, what they name isn't: tasks by bytes
+    total = packages.agg(F.sum("size")).first()[0] or 0
+    n = min(100_000, max(packages.sparkSession.sparkContext.defaultParallelism, total // TASK_BYTES))
+    return packages.select("package", "size", "content").repartition(n).mapInArrow(run, _READ)
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:

@@ -106,6 +106,23 @@ def test_archives_round_trip(spark):
     assert warc.read_packages(warc.write_packages(df.limit(0))).count() == 0
 
 
+def test_packages_are_read_by_ranges(spark, monkeypatch):
+    """As files and as cells the records are the same; a file is never read as a whole."""
+    df = spark.createDataFrame([(k, None, f"page {k} " * 50) for k in range(50)], "page_id long, url string, html string").repartition(2)
+    files = warc.write_packages(df)
+    assert files.where("content IS NOT NULL").count() == 0 < files.count()
+    store, path = warc.files_of(files.first().package)
+    asked = []
+    with store.open_input_file(path) as f:
+        size = f.size()
+        got = list(warc.package_records(lambda at, n: asked.append(n) or f.read_at(n, at), size))
+    assert got and len(asked) == len(got) + 5 and max(asked[1:]) < size / 2
+    want = sorted(map(str, warc.read_packages(files).collect()))
+    monkeypatch.setattr(warc, "files_of", lambda path: None)
+    cells = warc.write_packages(df)
+    assert cells.where("content IS NULL").count() == 0 and sorted(map(str, warc.read_packages(cells).collect())) == want
+
+
 def test_zip64_end_record_holds_the_figures():
     raw = warc.zip_package([("a", b"1")], zip64=True)
     assert struct.unpack_from("<H", raw, len(raw) - 12)[0] == 0xFFFF and b"PK\x06\x07" in raw
