@@ -103,10 +103,10 @@ def spread_join(rows: DataFrame, groups: DataFrame, key: str, count: str, how: s
     return near.unionByName(far)
 
 
-def few_large_tasks(df: DataFrame) -> DataFrame:
-    """df in fewer partitions, for tasks that each send a table of fixed size: 16 rounds of all cores, or 8 splits a task."""
+def few_large_tasks(df: DataFrame, rounds: int) -> DataFrame:
+    """df in fewer partitions, for tasks that each send a table of fixed size: so many rounds of all cores, or 16 splits a task."""
     n = df.rdd.getNumPartitions()
-    return df.coalesce(max(16 * df.sparkSession.sparkContext.defaultParallelism, n // 8, 1))
+    return df.coalesce(max(rounds * df.sparkSession.sparkContext.defaultParallelism, n // 16, 1))
 
 
 def merged_tables(parts: DataFrame, merge: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], pieces: int) -> DataFrame:

@@ -92,7 +92,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in sums.values()], pa.binary())], ["piece", "counts"])
 
-    parts = merged_tables(few_large_tasks(docs.select("text")).mapInArrow(gather, "piece int, counts binary"), merge, PIECES)
+    parts = merged_tables(few_large_tasks(docs.select("text"), 2).mapInArrow(gather, "piece int, counts binary"), merge, PIECES)
     out = np.zeros(CELLS, np.uint32)
     for piece, counts in parts.collect():
         out[piece * size : (piece + 1) * size] = np.frombuffer(zlib.decompress(counts), np.uint32)

@@ -88,7 +88,7 @@ def corpus_vectors(docs: DataFrame) -> np.ndarray:
         # sums of +1 and -1: whole numbers, most of them small
         return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(v.astype(np.int64).tobytes(), 1) for v in sums.values()], pa.binary())], ["piece", "sums"])
 
-    parts = merged_tables(few_large_tasks(docs.select("text")).mapInArrow(gather, "piece int, sums binary"), merge, PIECES)
+    parts = merged_tables(few_large_tasks(docs.select("text"), 16).mapInArrow(gather, "piece int, sums binary"), merge, PIECES)
     out = np.zeros(ROWS * DIM)
     for piece, values in parts.collect():
         out[piece * size : (piece + 1) * size] = np.frombuffer(zlib.decompress(values), np.int64)

@@ -14,7 +14,7 @@ at one offset of their windows.
 2. Anchors of all texts are counted by hash; those that come once are dropped.
    A filter of bits brings the others' hashes to the tasks.
 3. Each remaining anchor goes with the bytes around it to its hash's bucket.
-   Of equal windows only the earliest goes on.
+   Of equal windows only the earliest goes on, from a task and in the bucket.
 4. `expand` sorts a bucket's suffixes backwards, offset by offset.  The bytes
    before the sorted suffixes are that offset's column of the transform, and
    its LF mapping - a stable counting sort by those bytes - extends all
@@ -60,6 +60,8 @@ LEAST_BITS, MOST_BITS = 1 << 27, 1 << 29
 HOT_ROWS = 1 << 17
 #: Bytes of text for each partition of windows, about; and partitions at most.
 PARTITION_BYTES, MOST_PARTITIONS = 8 << 20, 100_000
+#: The same for partitions of hashes, each of which sends a filter.
+TABLE_BYTES, MOST_TABLES = 64 << 20, 4096
 #: Spans are merged by stretches of so many bytes (a power of two) of a text before they meet by text.
 STRETCH_BITS = 14
 TEXT_FILTER_BITS = 1 << 24
@@ -122,6 +124,8 @@ def _by_bucket(bucket: np.ndarray, blobs: list[bytes], size: int) -> pa.RecordBa
 
 
 _BUCKETS = "bucket long, rows binary, size int"
+#: A bucket's windows, and spans (four numbers of eight bytes) of windows that equal an earlier one of them.
+_WINDOWS = "bucket long, rows binary, done binary"
 
 
 def _text_filter(ids: DataFrame) -> np.ndarray:
@@ -134,7 +138,7 @@ def _bit():
     return F.pmod(F.xxhash64("tid", "order"), F.lit(TEXT_FILTER_BITS))
 
 
-def _repeated_anchors(texts: DataFrame, chosen, n_buckets: int, n_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _repeated_anchors(texts: DataFrame, chosen, n_buckets: int, n_bits: int, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Packed bits of the hashes of anchors that come at least twice, and of those that come more than HOT_ROWS times."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +195,7 @@ def _repeated_anchors(texts: DataFrame, chosen, n_buckets: int, n_bits: int) ->
 
     keys = texts.select("text", _bit().alias("bit")).mapInArrow(gather, _BUCKETS)
     # a task sends a table of fixed size: few tasks, each over a sorted run of buckets
-    found = keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(repeated, "piece int, bits binary").repartition(PIECES, "piece").mapInArrow(merge, "piece int, bits binary")
+    found = keys.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(repeated, "piece int, bits binary").repartition(PIECES, "piece").mapInArrow(merge, "piece int, bits binary")
     out = np.zeros((2, n_bits // 8), np.uint8)
     size = out.shape[1] // PIECES
     for piece, bits in found.collect():
@@ -283,32 +287,47 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def spans() -> Iterator[pa.RecordBatch]:
         row = np.concatenate(held)
         held.clear()
-        # of equal surroundings the earliest goes on; the others are covered as far as they reach
-        digest = mix(row["key"] * np.uint64(3) + row["before"] + (row["after"].astype(np.uint64) << np.uint64(8)))
-        text = np.ascontiguousarray(row["bytes"]).view("<u8").reshape(len(row), -1)
-        for k in range(text.shape[1]):
-            digest = mix(digest * np.uint64(0x9FB21C651E98DF25) + text[:, k])
-        o = np.lexsort((row["pos"], row["order"], digest))
-        row, digest = row[o], digest[o]
-        head = np.concatenate([[True], digest[1:] != digest[:-1]])
-        source = np.maximum.accumulate(np.where(head, np.arange(len(row)), 0))
-        later = ~head & ((row["order"] != row["order"][source]) | (row["pos"] != row["pos"][source]))
-        keep = ~later
-        least, most = np.maximum(0, LENGTH - row["after"].astype(np.int64)), row["before"].astype(np.int64)
-        least[keep], most[keep] = expand(row[keep])
+        later = _later(row)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _reach(row[later])], _SPAN_NAMES)
+        row = row[~later]
+        least, most = expand(row)
         some = least <= most
         yield pa.RecordBatch.from_arrays([pa.array(row["tid"][some]), pa.array(row["order"][some]), pa.array(row["pos"][some] - most[some]), pa.array(row["pos"][some] - least[some] + LENGTH)], _SPAN_NAMES)
 
     for batch in batches:
-        for bucket, rows in zip(batch.column("bucket").to_pylist(), batch.column("rows"), strict=True):
+        for bucket, rows, done in zip(batch.column("bucket").to_pylist(), batch.column("rows"), batch.column("done"), strict=True):
             if held and bucket != last:
                 yield from spans()
             last = bucket
             held.append(np.frombuffer(rows.as_buffer(), _ROW))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.frombuffer(done.as_buffer(), np.int64).reshape(-1, 4).T], _SPAN_NAMES)
     if held:
         yield from spans()
 
 
+def _later(row: np.ndarray) -> np.ndarray:
+    """Which windows equal an earlier one: all that they reach is covered."""
+    digest = mix(row["key"] * np.uint64(3) + row["before"] + (row["after"].astype(np.uint64) << np.uint64(8)))
+    text = np.ascontiguousarray(row["bytes"]).view("<u8").reshape(len(row), -1)
+    for k in range(text.shape[1]):
+        digest = mix(digest * np.uint64(0x9FB21C651E98DF25) + text[:, k])
+    o = np.lexsort((row["pos"], row["order"], digest))
+    sorted_ = row[["order", "pos"]][o]
+    head = np.concatenate([[True], digest[o][1:] != digest[o][:-1]])
+    source = np.maximum.accumulate(np.where(head, np.arange(len(row)), 0))
+    out = np.zeros(len(row), bool)
+    out[o] = ~head & (sorted_ != sorted_[source])
+    return out
+
+
+def _reach(row: np.ndarray) -> np.ndarray:
+    """(tid, order, start, end) of windows that are covered as far as their strings reach."""
+    least = np.maximum(0, LENGTH - row["after"].astype(np.int64))
+    some = least <= row["before"]
+    row, least = row[some], least[some]
+    return np.stack([row["tid"], row["order"], row["pos"] - row["before"], row["pos"] - least + LENGTH])
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans sorted by (tid, order, start) with those that touch or overlap as one."""
     held = np.zeros((4, 0), np.int64)
@@ -387,11 +406,14 @@ def _records(texts: DataFrame, chosen, wanted, hot, n_buckets: int, n_bits: int)
                 bucket = (mix(key) % np.uint64(n_buckets)).astype(np.int64)
                 o = np.argsort(bucket, kind="stable")
                 row, bucket = _around(part, own, at[o], doc[o], key[o], order[i:j], tid[i:j]), bucket[o]
+                later = _later(row)
                 ids, first = np.unique(bucket, return_index=True)
                 ends = np.append(first[1:], len(row))
-                yield _by_bucket(ids, [row[a:b].tobytes() for a, b in zip(first, ends, strict=True)], _ROW.itemsize)
+                live = [row[a:b][~later[a:b]].tobytes() for a, b in zip(first, ends, strict=True)]
+                done = [_reach(row[a:b][later[a:b]]).T.tobytes() for a, b in zip(first, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(live, pa.binary()), pa.array(done, pa.binary())], ["bucket", "rows", "done"])
 
-    return texts.select("text", "tid", "order", _bit().alias("bit")).mapInArrow(run, _BUCKETS)
+    return texts.select("text", "tid", "order", _bit().alias("bit")).mapInArrow(run, _WINDOWS)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,9 +448,10 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     total = first.agg(F.sum("n_bytes")).first()[0] or 0
     n_buckets = max(64, total // BUCKET_BYTES)
     n_bits = min(MOST_BITS, max(LEAST_BITS, 1 << (total // 4).bit_length()))
-    n_parts = min(MOST_PARTITIONS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PARTITION_BYTES))
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = min(MOST_PARTITIONS, max(shuffled, total // PARTITION_BYTES))
     chosen = spark.sparkContext.broadcast(_text_filter(first.select("tid", F.col("first").alias("order"))))
-    wanted, hot = (spark.sparkContext.broadcast(bits) for bits in _repeated_anchors(texts, chosen, n_buckets, n_bits))
+    wanted, hot = (spark.sparkContext.broadcast(bits) for bits in _repeated_anchors(texts, chosen, n_buckets, n_bits, min(MOST_TABLES, max(shuffled, total // TABLE_BYTES))))
     records = _records(texts, chosen, wanted, hot, n_buckets, n_bits).repartition(n_parts, "bucket").sortWithinPartitions("bucket")
     found = records.mapInArrow(_covered, _SPANS)
     if hot.value.any():
