@@ -14,6 +14,7 @@ SPACES = SPACE + "+"
 # Code point ranges of Arabic letters, presentation forms and replacement glyphs.
 ARABIC = ((0x0600, 0x06FF), (0x0750, 0x077F), (0x08A0, 0x08FF))
 PRESENTATION = ((0xFB50, 0xFDFF), (0xFE70, 0xFEFF))
+CONTROLS = ((0x00, 0x08), (0x0E, 0x1B), (0x7F, 0x9F))
 REPLACEMENT = ((0xFFFD, 0xFFFD), (0xE000, 0xF8FF), (0xF0000, 0xFFFFD), (0x100000, 0x10FFFD), (0x25A0, 0x25A1), (0x25CB, 0x25CF), (0x2588, 0x2588))
 
 

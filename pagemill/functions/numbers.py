@@ -53,6 +53,13 @@ def word_boundary_divergence(tokens: Column, q: dict[int, float] | None = None)
     return bound(tokens, lambda t: F.when(F.size(t) < FEWEST_TOKENS, 0.0).otherwise(divergence(length_shares(t), q)))
 
 
+def lengths_divergence(lengths: Column, q: dict[int, float] | None = None) -> Column:
+    """The same from the numbers of tokens of each length, 1 to LONGEST."""
+    total = F.aggregate(lengths, F.lit(0), lambda a, n: a + n)
+    shares = lambda t: F.transform(lengths, lambda n: n / t)
+    return bound(total, lambda t: F.when(F.coalesce(t, F.lit(0)) < FEWEST_TOKENS, 0.0).otherwise(divergence(shares(t), q)))
+
+
 def character_error_rate(reference: Column, hypothesis: Column) -> Column:
     distance = F.levenshtein(reference, hypothesis)
     return distance / F.greatest(F.char_length(reference), F.lit(1))

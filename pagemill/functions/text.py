@@ -134,17 +134,35 @@ def without_marker(text: Column, raw: Column) -> Column:
 # -- Recognised and diagnostic text -------------------------------------------
 
 
+# What counts as a formula's marks, in the order in which they go. A dollar that is escaped marks nothing, a
+# pair of single ones stands on one line.
+MATH_MARKS = (
+    r"(?isU)<[\s\x1c-\x1f]*math\b[^>]*>(.*?)<[\s\x1c-\x1f]*/[\s\x1c-\x1f]*math[\s\x1c-\x1f]*>",
+    r"(?s)\$\$(.+?)\$\$", r"(?s)\\\[(.+?)\\\]", r"(?s)\\\((.+?)\\\)", r"(?<!\\)\$(?!\$)([^\n$]+?)(?<!\\)\$",
+)
+
+
 def strip_math(text: Column) -> Column:
     """Formula marks go, what they hold stays: tags, then $$, brackets, parentheses, single $."""
-    for pattern in (r"(?is)<math[^>]*>(.*?)</math>", r"(?s)\$\$(.*?)\$\$", r"(?s)\\\[(.*?)\\\]", r"(?s)\\\((.*?)\\\)", r"(?s)\$([^$]*?)\$"):
+    for pattern in MATH_MARKS:
         text = F.regexp_replace(text, pattern, "$1")
     return text
 
 
+def joined_lines(lines: Column, strip_formulas: bool = True) -> Column:
+    """A recogniser's lines as one text, without formula marks if asked for."""
+    whole = F.array_join(lines, "\n")
+    return strip_math(whole) if strip_formulas else whole
+
+
+# The control characters that a reason loses, and its line ends.
+CONTROLS, LINE_ENDS = r"[\x00-\x08\x0b\x0c\x0e-\x1f]", r"\r\n|[\n\r\x85\x{2028}\x{2029}]"
+
+
 def failure_reason(reason: Column, limit: int = REASON_CHARS) -> Column:
     """Control characters go; of a trace only its last unindented line with a colon stays; a long one is cut."""
-    clean = F.regexp_replace(reason, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
-    lines = F.filter(F.split(clean, r"\r\n|[\n\r\x85\x{2028}\x{2029}]"), lambda s: s.contains(":") & ~F.startswith(s, F.lit(" ")))
+    clean = F.regexp_replace(reason, CONTROLS, "")
+    lines = F.filter(F.split(clean, LINE_ENDS), lambda s: s.contains(":") & ~F.startswith(s, F.lit(" ")))
     pretty = F.coalesce(F.try_element_at(lines, F.lit(-1)), clean)
     return F.when(F.char_length(pretty) > limit, F.concat(F.substring(pretty, 1, limit - 1), F.lit("…"))).otherwise(pretty)
 
@@ -155,7 +173,7 @@ def cache_key(*parts: Column) -> Column:
 
 
 def event_line(event: str = "event") -> Column:
-    """A progress event as a log line."""
+    """A progress event as a log line (its words are fixed values)."""
     page = F.concat(F.lit("page "), F.col("page"), F.lit(" of "), F.col("of"), F.lit(" — "))
     text = lambda *parts: F.concat(page, *(p if isinstance(p, Column) else F.lit(p) for p in parts))
     e = F.col(event)

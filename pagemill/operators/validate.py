@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,36 +15,77 @@ from ..config import ValidatorConfig
 from ..functions import charclass as cc
 from ..functions import numbers, text
 
-#: Most texts stay inside these blocks, where the letter class is a short one.
-_COMMON = ((0, 0x24F), (0x600, 0x6FF), (0x750, 0x77F), (0x8A0, 0x8FF), (0x2000, 0x206F), (0xE000, 0xF8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF), (0xFFFD, 0xFFFD))
-
-
-def letter_count(t: Column) -> Column:
-    other = "[^" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in _COMMON) + "]"
-    common = cc._ranges(cc._letter, _COMMON)
-    return F.when(F.regexp_like(t, F.lit(other)), text.count_of(t, cc.letters())).otherwise(text.count_of(t, common))
+#: Bits of what a code point is, for `_kinds`.
+LETTER, BASE, PRESENTATION, SPACE, REPLACED = 1, 2, 4, 8, 16
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """The bits of every code point, from Python's tables."""
+    out = np.zeros(sys.maxunicode + 1, np.uint8)
+    letters = np.array([unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)])
+    out[letters] |= LETTER
+    for bit, ranges in ((BASE, cc.ARABIC), (PRESENTATION, cc.PRESENTATION)):
+        for lo, hi in ranges:
+            out[lo : hi + 1] |= np.where(letters[lo : hi + 1], bit, 0).astype(np.uint8)
+    out[[c for c in range(sys.maxunicode + 1) if chr(c).isspace()]] |= SPACE
+    for lo, hi in (*cc.CONTROLS, *cc.REPLACEMENT):
+        out[lo : hi + 1] |= REPLACED
+    # glyphs that can be damaged: all but ASCII's punctuation and white space
+    seen = np.ones(len(out), bool)
+    seen[:128] = [chr(c).isalnum() or any(lo <= c <= hi for lo, hi in cc.CONTROLS) for c in range(128)]
+    out[seen & (out & SPACE == 0)] |= GLYPH
+    out[out & SPACE > 0] &= ~np.uint8(REPLACED)
+    return out
+
+
+GLYPH = 32
+_COUNTED = {"n_letters": LETTER, "n_arabic": BASE, "n_presentation": PRESENTATION, "n_glyphs": GLYPH, "n_replaced": REPLACED}
+_COUNTS = ", ".join(f"{c}: long" for c in _COUNTED) + ", lengths: array<int>"
+
+
+def counted(texts: pa.Array) -> pa.StructArray:
+    """Counts of each text's letters, glyphs and so on, and how many tokens of each length (1 to LONGEST and over) it has."""
+    known = texts.is_valid().to_numpy(zero_copy_only=False)
+    flat = texts.fill_null("").to_pylist()
+    kind = _kinds()[np.frombuffer("".join(flat).encode("utf-32-le", "surrogatepass"), "<u4")]
+    n = len(flat)
+    size = np.fromiter(map(len, flat), np.int64, n)
+    ends = np.cumsum(size)
+    doc = np.repeat(np.arange(n), size)
+    columns = [pa.array(np.bincount(doc[kind & bit > 0], minlength=n), pa.int64(), mask=~known) for bit in _COUNTED.values()]
+    word = kind & SPACE == 0
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    inner = ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(kind))]
+    first[inner] = word[inner]
+    last[inner - 1] = word[inner - 1]
+    at = np.flatnonzero(first)
+    length = np.minimum(np.flatnonzero(last) - at + 1, numbers.LONGEST)
+    table = np.bincount(doc[at] * numbers.LONGEST + length - 1, minlength=n * numbers.LONGEST).astype(np.int32)
+    lengths = pa.ListArray.from_arrays(pa.array(np.arange(0, n * numbers.LONGEST + 1, numbers.LONGEST), pa.int32()), pa.array(table))
+    return pa.StructArray.from_arrays([*columns, lengths], [*_COUNTED, "lengths"])
 
 
 def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(0.0)
 
 
+#: Texts that are counted at a time.
+SLICE = 256
+
+
 def counts(df: DataFrame, column: str = "text") -> DataFrame:
-    """Adds the integer counts that the ratios come from, and tokens."""
-    t = F.col(column)
-    bare = F.regexp_replace(t, cc.SPACES, "")
-    seen = r"[^\x00-\x7F]|[A-Za-z0-9]|[\x00-\x08\x0E-\x1B\x7F]"
-    maybe = F.regexp_like(t, F.lit(r"[\x{600}-\x{8FF}\x{FB50}-\x{FEFF}]"))
-    zero = F.lit(0).cast("long")
-    return df.select(
-        "*",
-        letter_count(t).alias("n_letters"),
-        F.when(maybe, text.count_of(t, cc.arabic_letters(presentation=False))).otherwise(zero).alias("n_arabic"),
-        F.when(maybe, text.count_of(t, cc.arabic_letters(base=False))).otherwise(zero).alias("n_presentation"),
-        text.count_of(bare, seen).alias("n_glyphs"),
-        text.count_of(bare, cc.replacement()).alias("n_replaced"),
-        text.tokens(t).alias("tokens"),
-    )
+    """Adds the integer counts that the ratios come from, and lengths (tokens by length): one pass over a batch's code points."""
+
+    @F.arrow_udf(f"struct<{_COUNTS}>")
+    def count(texts: pa.Array) -> pa.Array:
+        # a few texts at a time: a code point takes some 20 bytes on the way
+        parts = [counted(texts.slice(k, SLICE)) for k in range(0, len(texts), SLICE)]
+        return pa.concat_arrays(parts) if parts else counted(texts)
+
+    return df.withColumn("_counts", count(F.col(column).cast("string"))).select("*", "_counts.*").drop("_counts")
 
 
 def signals(df: DataFrame, column: str = "text", reference: dict[int, float] | None = None) -> DataFrame:
@@ -47,7 +94,7 @@ def signals(df: DataFrame, column: str = "text", reference: dict[int, float] | N
         *df.columns, "n_letters", "n_arabic", "n_presentation", "n_glyphs", "n_replaced",
         _share(F.col("n_arabic"), F.col("n_letters")).alias("arabic_codepoint_ratio"),
         _share(F.col("n_replaced"), F.col("n_glyphs")).alias("replacement_glyph_ratio"),
-        numbers.word_boundary_divergence(F.col("tokens"), reference).alias("word_boundary_kl"),
+        numbers.lengths_divergence(F.col("lengths"), reference).alias("word_boundary_kl"),
         _share(F.col("n_presentation"), F.col("n_presentation") + F.col("n_arabic")).alias("presentation_form_ratio"),
     )
 
@@ -100,8 +147,8 @@ def force_ml(pages: DataFrame) -> DataFrame:
 
 def length_distribution(df: DataFrame, column: str = "text") -> DataFrame:
     """(token_length, n, share) over all texts, lengths from 12 on together."""
-    t = df.select(F.explode(text.tokens(F.col(column))).alias("t")).select(F.least(F.char_length("t"), F.lit(numbers.LONGEST)).alias("token_length"))
-    n = t.groupBy("token_length").agg(F.count(F.lit(1)).alias("n"))
+    each = counts(df.select(column), column).select(F.posexplode("lengths").alias("k", "n"))
+    n = each.where("n > 0").groupBy((F.col("k") + 1).alias("token_length")).agg(F.sum("n").alias("n"))
     total = n.agg(F.sum("n").alias("total"))
     # one row beside at most twelve
     return n.crossJoin(F.broadcast(total)).select("token_length", "n", (F.col("n") / F.col("total")).alias("share"))

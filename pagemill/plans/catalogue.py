@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import EngineConfig
+from ..config import EngineConfig, parse_pages
 from ..functions import numbers, text
 from ..operators import audit, emit, extract, images, order, recognise, roles, transcribe, validate
 from ..schemas import as_regions, from_json, to_json
@@ -25,6 +25,12 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """documents, dealt out where the files have fewer splits than there are cores."""
+    d, cores = _table(spark, sf, "documents"), spark.sparkContext.defaultParallelism
+    return d if d.rdd.getNumPartitions() >= cores else d.repartition(cores)
+
+
 # -- Derived inputs, in both engines ------------------------------------------
 
 _LINE = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
@@ -58,7 +64,7 @@ _DAMAGED = f"CASE doc_id % 4 WHEN 1 THEN translate(text, 'abcdefgh', '{_ARABIC}'
 
 
 def _damaged(spark: SparkSession, sf: str) -> DataFrame:
-    return _table(spark, sf, "documents").select("doc_id", "lang", F.expr(_DAMAGED).alias("text"))
+    return _texts(spark, sf).select("doc_id", "lang", F.expr(_DAMAGED).alias("text"))
 
 
 # documents are Latin, so DuckDB's \p{L} and Python's tables agree on them
@@ -102,18 +108,16 @@ def _query(sql: str | None = None):
 # -- Validation ----------------------------------------------------------------
 
 
-@_query("SELECT l_orderkey, count(*) AS n, min(l_linenumber) AS first_line FROM lineitem WHERE l_orderkey IN (1, 2, 3, 7, 11) GROUP BY 1")
+@_query(f"WITH {_G} SELECT doc_id, page_index, count(*) AS n, min(y0) AS top FROM g WHERE page_index IN (0, 1, 2, 6, 8) GROUP BY 1, 2")
 def page_filter(spark, sf):
-    """Page ranges as a predicate that the scan takes."""
-    from ..config import parse_pages
-
-    wanted = [p + 1 for p in parse_pages("1-3,7,11")]
-    return _table(spark, sf, "lineitem").where(F.col("l_orderkey").isin(*wanted)).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.min("l_linenumber").alias("first_line"))
+    """Page ranges of every document."""
+    chosen = transcribe.select_pages(_boxes(spark, sf), parse_pages("1-3,7, 9,2"))
+    return chosen.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min("y0").alias("top"))
 
 
 @_query("WITH t AS (SELECT unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS t FROM documents), n AS (SELECT CAST(least(length(t), 12) AS INT) AS token_length, count(*) AS n FROM t GROUP BY 1) SELECT token_length, n, round(n / (SELECT sum(n) FROM n), 9) AS share FROM n")
 def token_length_hist(spark, sf):
-    return validate.length_distribution(_table(spark, sf, "documents")).withColumn("share", F.round("share", 9))
+    return validate.length_distribution(_texts(spark, sf)).withColumn("share", F.round("share", 9))
 
 
 @_query(f"WITH {_SIG} SELECT doc_id, n_letters, n_arabic, n_presentation, n_glyphs, n_replaced, round(arabic_codepoint_ratio, 6) AS arabic_codepoint_ratio, round(replacement_glyph_ratio, 6) AS replacement_glyph_ratio, round(presentation_form_ratio, 6) AS presentation_form_ratio FROM s")
@@ -125,8 +129,7 @@ def text_signals(spark, sf):
 
 @_query(f"WITH {_SIG} SELECT doc_id, round(word_boundary_kl, 6) AS kl FROM s")
 def word_boundary_kl(spark, sf):
-    t = _damaged(spark, sf)
-    return t.select("doc_id", F.round(numbers.word_boundary_divergence(text.tokens(F.col("text"))), 6).alias("kl"))
+    return validate.counts(_damaged(spark, sf)).select("doc_id", F.round(numbers.lengths_divergence(F.col("lengths")), 6).alias("kl"))
 
 
 def _judged(spark, sf):
@@ -379,12 +382,27 @@ def md_table_cell(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", text.escape_cell(F.expr(_SPICED.format(s="STRING"))).alias("cell"))
 
 
-_MATH = "concat('<math x>', text, '</math> $$a', CAST(doc_id AS {s}), '$$ \\\\[b\\\\] \\\\(c\\\\) $d$')"
+# what the marks are around, and what is no mark: escaped dollars, pairs over a line's end, lone ones; written as pairs of
+# (text with marks, what must come out), with % for the document's own text, that holds no mark
+_MATH = (
+    ("<math x>%</math>", "%"), ("< MATH >%</ math >", "%"), ("< math a='1'\nb>x</\nmath>", "x"), ("<mathx>y</math>", "<mathx>y</math>"),
+    ("$$a%$$", "a%"), ("\\[b\n%\\]", "b\n%"), ("\\(c\\)", "c"), ("$d %$".replace("%", "e"), "d e"), ("cost \\$5 and \\$6", "cost \\$5 and \\$6"),
+    ("from $5\nto $6", "from $5\nto $6"), ("one $ only", "one $ only"), ("\\[\\]", "\\[\\]"), ("$a\\$ b$", "$a\\$ b$"),
+)
+
+
+def _math(k: int, plain: str) -> str:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    return ", ".join(f"replace({quoted(pair[k])}, '%', {plain})" for pair in _MATH)
 
 
-@_query(f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_MATH.format(s='VARCHAR').replace(chr(92) * 2, chr(92))}, '<math[^>]*>(.*?)</math>', '\\1', 'gsi'), '\\$\\$(.*?)\\$\\$', '\\1', 'gs'), '\\\\\\[(.*?)\\\\\\]', '\\1', 'gs'), '\\\\\\((.*?)\\\\\\)', '\\1', 'gs'), '\\$([^$]*?)\\$', '\\1', 'gs') AS text FROM documents")
+@_query(f"SELECT doc_id, unnest(range({len(_MATH)})) AS k, unnest([{_math(1, 'translate(text, chr(36) || chr(60) || chr(92) || chr(10), chr(32))')}]) AS text FROM documents")
 def strip_math(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", text.strip_math(F.expr(_MATH.format(s="STRING"))).alias("text"))
+    """Texts in and beside formula marks; the SQL puts together what must be left."""
+    plain = F.translate("text", "$<\\\n", " ")
+    d = _texts(spark, sf).select("doc_id", plain.alias("plain"))
+    marked = F.array(*(F.replace(F.lit(a), F.lit("%"), F.col("plain")) for a, _ in _MATH))
+    return d.select("doc_id", F.posexplode(marked).alias("k", "text")).select("doc_id", F.col("k").cast("long").alias("k"), text.strip_math(F.col("text")).alias("text"))
 
 
 _TRACE = "concat('Traceback:', chr(10), '  File: x', chr(10), 'ValueError: ', replace(text, chr(10), ' '), chr(27), chr(10), 'end')"
@@ -396,9 +414,9 @@ def sanitise_reason(spark, sf):
 
 
 @_query(f"""WITH t AS (SELECT doc_id, {_DAMAGED} AS text FROM documents), c AS (SELECT *, len(regexp_extract_all(text, '[\\x{{600}}-\\x{{6FF}}\\x{{FB50}}-\\x{{FEFF}}]')) AS r, len(regexp_extract_all(text, '\\p{{Latin}}')) AS l FROM t)
-SELECT doc_id, r > 0 AND r > l AND l > 0 AS marked FROM c""")
+SELECT doc_id, CASE WHEN r > 0 AND r > l AND l > 0 THEN chr(8207) ELSE '' END || text AS text FROM c""")
 def rlm_prefix(spark, sf):
-    return _damaged(spark, sf).select("doc_id", F.startswith(text.with_rlm(F.col("text")), F.lit(text.RLM)).alias("marked"))
+    return _damaged(spark, sf).select("doc_id", text.with_rlm(F.col("text")).alias("text"))
 
 
 @_query("SELECT doc_id, nfc_normalize(concat(text, 'e', chr(769), chr(233))) AS text FROM documents")
@@ -406,14 +424,20 @@ def nfc(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", text.normalised(F.concat("text", F.lit("éé"))).alias("text"))
 
 
-@_query()
+@_query("SELECT doc_id, nfc_normalize(concat(replace(replace(text, chr(160), ' '), '…', '...'), 'fi1')) AS text FROM documents")
 def nfkc(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", text.normalised(F.concat("text", F.lit("ﬁ①")), "NFKC").alias("text"))
 
 
-@_query("SELECT item_id, upper(text) AS shouted, CAST(length(text) AS BIGINT) AS n, round(levenshtein(text, upper(text)) / greatest(length(text), 1), 9) AS cer FROM benchmark WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+# distance in code points: that of the same length over bytes is not known to this engine, so a recursion over rows of the table
+@_query("""WITH RECURSIVE b AS (SELECT item_id, text, upper(replace(text, 'ß', 'ss')) AS shouted, string_split(text, '') AS x, string_split(upper(replace(text, 'ß', 'ss')), '') AS y FROM benchmark),
+d AS (SELECT item_id, 0 AS i, list_transform(range(0, CAST(length(shouted) AS BIGINT) + 1), lambda v: CAST(v AS BIGINT)) AS line FROM b
+  UNION ALL SELECT d.item_id, d.i + 1, list_reduce(list_transform(range(1, CAST(length(b.shouted) AS BIGINT) + 1), lambda j: [CAST(j AS BIGINT)]),
+    lambda acc, j: list_append(acc, least(acc[len(acc)] + 1, d.line[j[1] + 1] + 1, d.line[j[1]] + CASE WHEN b.x[d.i + 1] = b.y[j[1]] THEN 0 ELSE 1 END)), [CAST(d.i + 1 AS BIGINT)])
+  FROM d JOIN b USING (item_id) WHERE d.i < length(b.text))
+SELECT item_id, shouted, CAST(length(text) AS BIGINT) AS n, round(line[len(line)] / greatest(length(text), 1), 9) AS cer FROM d JOIN b USING (item_id) WHERE i = length(text)""")
 def cer(spark, sf):
-    """Character error rate of a shouted copy, in code points; the SQL beside it still keeps ASCII items only, as that engine counts bytes."""
+    """Character error rate of a shouted copy, in code points."""
     b = _table(spark, sf, "benchmark")
     return b.select("item_id", F.upper("text").alias("shouted"), F.char_length("text").cast("long").alias("n"), F.round(numbers.character_error_rate(F.col("text"), F.upper("text")), 9).alias("cer"))
 
@@ -515,8 +539,9 @@ def transcribe_documents(spark, sf):
 _EVENT = "CASE event_type WHEN 'click' THEN 'start' WHEN 'view' THEN concat('region:', CAST(user_id % 9 AS {s}), '/9:table') WHEN 'purchase' THEN 'complete:ml' ELSE concat('failure:', event_type) END"
 
 
-@_query(f"""WITH e AS (SELECT CAST(user_id % 50 AS VARCHAR) AS doc_id, {_EVENT.format(s='VARCHAR')} AS event FROM events)
-SELECT doc_id, count(*) AS n_events, count(*) FILTER (event = 'complete:ml') AS pages_done, count(*) FILTER (starts_with(event, 'failure:')) AS pages_failed, count(*) FILTER (starts_with(event, 'region:')) AS regions FROM e GROUP BY 1""")
+@_query(f"""WITH e AS (SELECT CAST(user_id % 50 AS VARCHAR) AS doc_id, event_id % 100 AS page, {_EVENT.format(s='VARCHAR')} AS event FROM events)
+SELECT doc_id, count(*) AS n_events, count(DISTINCT page) FILTER (event = 'complete:ml' OR starts_with(event, 'failure:')) AS pages_finished, count(DISTINCT page) FILTER (event = 'complete:ml') AS pages_done,
+count(DISTINCT page) FILTER (starts_with(event, 'failure:')) AS pages_failed, count(*) FILTER (starts_with(event, 'region:')) AS regions FROM e GROUP BY 1""")
 def progress_rollup(spark, sf):
     raw = _table(spark, sf, "events").select((F.col("user_id") % 50).cast("string").alias("doc_id"), (F.col("event_id") % 100).cast("int").alias("page_index"), F.lit(100).alias("total"), F.expr(_EVENT.format(s="STRING")).alias("event"))
     return progress.rollup(progress.parsed(raw))
@@ -540,19 +565,49 @@ def dep_closure(spark, sf):
     return audit.closure(_requirements(spark, sf), "n3", ("x",))
 
 
-@_query("SELECT 'dist' AS kind, 'n' || n_nationkey || '==1' AS name, CASE n_nationkey % 4 WHEN 1 THEN 'not allowed: GPL-3.0' ELSE 'no license found' END AS detail FROM nation WHERE n_nationkey % 4 IN (1, 3)")
+# (expression, classifiers, licence, what the audit says; None: allowed), worked out by hand
+_DECLARED = (
+    (None, [], "MIT\n", None), (None, [], " \t", "no license found"), ("GPL-3.0 OR (MIT)", [], None, None), ("GPL-3.0\tAND LGPL-2.1", [], None, "not allowed: GPL-3.0 / LGPL-2.1"),
+    (None, ["License :: OSI Approved :: \n", "License :: OSI Approved :: BSD License"], None, None), (None, ["Topic :: X"], "line one\nline two", "no license found"),
+    (None, ["License :: OSI Approved :: GNU Affero"], "the Unlicense (Unlicense)", None), (None, [], "Apache 2.0 OR GPL", None), ("", [], "x" * 201, "no license found"), (None, [], "Beerware", "not allowed: Beerware"),
+)
+
+
+@_query(f"SELECT 'dist' AS kind, 'p' || p_partkey || '==2' AS name, ([{', '.join(repr(d[3]) if d[3] else 'NULL' for d in _DECLARED)}])[p_partkey % {len(_DECLARED)} + 1] AS detail FROM part WHERE detail IS NOT NULL AND p_partkey % 50 <> 3")
 def licence_audit(spark, sf):
-    return audit.audit_distributions(_requirements(spark, sf))
+    """Parts as distributions; one in fifty has an override."""
+    one = F.element_at(F.array(*(F.struct(F.lit(e).cast("string").alias("expression"), F.array(*map(F.lit, c)).cast("array<string>").alias("classifiers"), F.lit(v).cast("string").alias("license")) for e, c, v, _ in _DECLARED)), F.col("p_partkey").cast("int") % len(_DECLARED) + 1)
+    p = _table(spark, sf, "part")
+    d = p.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("name"), F.lit("2").alias("version"), one.alias("d")).select("name", "version", "d.*")
+    top = p.agg(F.max("p_partkey")).first()[0] or 0
+    return audit.audit_distributions(d, overrides={f"p{k}==2": "MIT" for k in range(3, top + 1, 50)})
+
 
+def _told(table: dict) -> str:
+    return "CASE label " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in table.items())
 
-@_query("SELECT p_type, count(*) AS n, CASE p_type WHEN 'Title' THEN 'heading' ELSE 'unknown' END AS role FROM part GROUP BY 1")
+
+_LABELS, _STRUCT_LABELS = ([*t, "Background", "Other"] for t in (roles.LABELS, roles.STRUCT_LABELS))
+
+
+@_query(f"SELECT p_partkey, label, {_told(roles.LABELS)} ELSE 'unknown' END AS role, {_told(roles.LABEL_LEVELS)} END AS heading_level FROM (SELECT p_partkey, {_LABELS}[p_partkey % {len(_LABELS)} + 1] AS label, CASE WHEN p_size % 7 <> 0 THEN p_size / 100 END AS confidence FROM part) WHERE label <> 'Background' AND coalesce(confidence, 1) >= 0.25")
 def label_roles(spark, sf):
-    return _table(spark, sf, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n")).withColumn("role", roles.role_of(F.col("p_type")))
+    """Parts as detections, with every label, one that is dropped and one that isn't known."""
+    return roles.detections(_detected(spark, sf, _LABELS)).select("p_partkey", "label", "role", "heading_level")
+
 
+def _detected(spark, sf, labels):
+    label = F.element_at(F.array(*map(F.lit, labels)), F.col("p_partkey").cast("int") % len(labels) + 1)
+    return _table(spark, sf, "part").select("p_partkey", label.alias("label"), F.when(F.col("p_size") % 7 != 0, F.col("p_size") / 100).alias("confidence"))
 
-@_query("SELECT turn AS page_index, sum(length(text)) FILTER (role = 'user') AS \"user\", sum(length(text)) FILTER (role = 'assistant') AS assistant FROM (SELECT turn, role, text FROM conversations WHERE conv_id = 1) GROUP BY 1")
+
+@_query(f"SELECT p_partkey, {_told(roles.STRUCT_LABELS)} ELSE 'unknown' END AS role FROM (SELECT p_partkey, {_STRUCT_LABELS}[p_partkey % {len(_STRUCT_LABELS)} + 1] AS label, CASE WHEN p_size % 7 <> 0 THEN p_size / 100 END AS confidence FROM part) WHERE label <> 'Background' AND coalesce(confidence, 1) >= 0.25")
+def struct_label_roles(spark, sf):
+    return roles.detections(_detected(spark, sf, _STRUCT_LABELS), roles.STRUCT_LABELS).select("p_partkey", "role")
+
+
+@_query("SELECT conv_id, turn AS page_index, CAST(sum(length(text)) FILTER (role = 'user') AS DECIMAL(38, 0)) AS \"user\", CAST(sum(length(text)) FILTER (role = 'assistant') AS DECIMAL(38, 0)) AS assistant FROM conversations GROUP BY 1, 2")
 def survey_lengths(spark, sf):
-    """All conversations; the SQL beside it still keeps conv_id 1 only."""
     c = _table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("page_index"), F.col("role").alias("model"), "text")
     return recognise.lengths_by_model(c, ["user", "assistant"], ("conv_id", "page_index")).select("conv_id", "page_index", F.col("user").cast("decimal(38,0)").alias("user"), F.col("assistant").cast("decimal(38,0)").alias("assistant"))
 
@@ -563,7 +618,8 @@ def assemble_crops(spark, sf):
     return recognise.assembled(c)
 
 
-@_query()
+@_query("""WITH s AS (SELECT p_partkey AS image_id, 8 + p_size % 5 * 8 AS step FROM part), r AS (SELECT image_id, step, unnest(range(0, 80 // step)) AS i FROM s), c AS (SELECT *, unnest(range(0, 5)) AS j FROM r)
+SELECT image_id, CAST(i AS INT) AS row, CAST(j AS INT) AS col, CAST(5 + j * 22 AS DOUBLE) AS x0, CAST(5 + i * step AS DOUBLE) AS y0, CAST(27 + j * 22 AS DOUBLE) AS x1, CAST(5 + (i + 1) * step AS DOUBLE) AS y1 FROM c""")
 def table_cells(spark, sf):
     """Cells of ruled grids drawn from the parts' sizes."""
     import numpy as np

@@ -46,18 +46,25 @@ def as_text(events: DataFrame) -> DataFrame:
     return events.select(event_line().alias("value"))
 
 
-def finished_pages(events: DataFrame) -> DataFrame:
-    """One row a page, whether it completes or fails, however often that is said. Streams keep the pages as state."""
+def finished_pages(events: DataFrame, time: str | None = None, within: str = "1 day") -> DataFrame:
+    """One row a page, whether it completes or fails, however often that is said.
+
+    With time, the column of the events' times, a stream forgets a page once the watermark is `within` past it; without
+    it a stream keeps every page as state.
+    """
     done = events.where(F.col("event").isin("complete", "failure"))
+    if time:
+        return done.withWatermark(time, within).dropDuplicatesWithinWatermark(["doc_id", "page"]).select("doc_id", "page", "of", "event", "branch")
     return done.select("doc_id", "page", "of", "event", "branch").dropDuplicates(["doc_id", "page"])
 
 
 def rollup(events: DataFrame) -> DataFrame:
-    """doc_id, n_events, pages_done, pages_failed, regions."""
-    is_ = lambda kind: F.col("event") == kind
-    return events.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_events"),
-        F.count(F.when(is_("complete"), 1)).alias("pages_done"), F.count(F.when(is_("failure"), 1)).alias("pages_failed"), F.count(F.when(is_("region"), 1)).alias("regions"),
+    """doc_id, n_events, and pages that are finished, that came through and that failed, each page once; regions seen."""
+    flag = lambda kind: F.max((F.col("event") == kind).cast("int"))
+    page = events.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n"), flag("complete").alias("done"), flag("failure").alias("failed"), F.count_if(F.col("event") == "region").alias("regions"))
+    return page.groupBy("doc_id").agg(
+        F.sum("n").alias("n_events"), F.sum(F.greatest("done", "failed")).cast("long").alias("pages_finished"),
+        F.sum("done").cast("long").alias("pages_done"), F.sum("failed").cast("long").alias("pages_failed"), F.sum("regions").alias("regions"),
     )
 
 

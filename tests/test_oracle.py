@@ -29,7 +29,7 @@ def test_query_equals_sql(spark, duck, tmp_path, name):
     columns = ", ".join(f'"{c}"' for c in sorted(out.columns))
     duck.execute(f"create or replace temp table a as select {columns} from '{tmp_path}/out/*.parquet'")
     duck.execute(f"create or replace temp table b as select {columns} from ({catalogue.oracle_sql()[name]})")
-    assert duck.sql("select count(*) from b").fetchone()[0] == spark.read.parquet(f"{tmp_path}/out").count()
+    assert duck.sql("select count(*) from b").fetchall()[0][0] == spark.read.parquet(f"{tmp_path}/out").count()
     assert duck.sql("select * from a except all select * from b").fetchall() == []
     assert duck.sql("select * from b except all select * from a").fetchall() == []
 

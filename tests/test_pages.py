@@ -235,6 +235,6 @@ def test_stream_equals_batch(spark, tmp_path):
     streamed = sorted(r.page for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert streamed == sorted(r.page for r in progress.finished_pages(progress.parsed(df)).collect()) == [2, 3, 4]
     roll = progress.rollup(progress.parsed(df)).collect()[0]
-    assert (roll.n_events, roll.pages_done, roll.pages_failed, roll.regions) == (7, 3, 1, 1)
+    assert (roll.n_events, roll.pages_finished, roll.pages_done, roll.pages_failed, roll.regions) == (7, 3, 3, 1, 1)
     lines = [r.value for r in progress.as_json(progress.line_events(progress.parsed(df))).collect()]
     assert len(lines) == 6 and '"reason":"x:y"' in "".join(lines)
