@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import EngineConfig, parse_pages
+from ..config import parse_pages
 from ..functions import numbers, text
 from ..operators import audit, emit, extract, images, order, recognise, roles, transcribe, validate
 from ..schemas import as_regions, from_json, to_json
@@ -68,8 +68,9 @@ def _damaged(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # documents are Latin, so DuckDB's \p{L} and Python's tables agree on them
+_KEYED = f"t AS (SELECT doc_id, lang, {_DAMAGED} AS text FROM documents)"
 _SIG = f"""
-t AS (SELECT doc_id, lang, {_DAMAGED} AS text FROM documents),
+{_KEYED},
 c AS (SELECT *, CAST(len(regexp_extract_all(text, '\\p{{L}}')) AS BIGINT) AS n_letters,
       CAST(len(regexp_extract_all(text, '[\\x{{600}}-\\x{{6FF}}]')) AS BIGINT) AS n_arabic,
       CAST(len(regexp_extract_all(text, '[\\x{{FB50}}-\\x{{FDFF}}\\x{{FE70}}-\\x{{FEFF}}]')) AS BIGINT) AS n_presentation,
@@ -527,15 +528,6 @@ def debug_sidecar(spark, sf):
     return emit.sidecar(as_regions(g), _outcomes(g))
 
 
-@_query()
-def transcribe_documents(spark, sf):
-    """The whole run: validation, routing, order, roles; pages that are rejected go to a full-page stand-in."""
-    g = _boxes(spark, sf)
-    pages = g.select(*KEY, "page_width", "page_height").distinct().withColumn("has_text_layer", F.col("page_index") % 3 != 2)
-    result = transcribe.transcribe(pages, as_regions(g), EngineConfig(), recognise=lambda p: recognise.full_page(p).join(p.select(*KEY, "page_width", "page_height"), KEY))
-    return result.regions.groupBy("doc_id", "source", "role").agg(F.count(F.lit(1)).alias("n"))
-
-
 _EVENT = "CASE event_type WHEN 'click' THEN 'start' WHEN 'view' THEN concat('region:', CAST(user_id % 9 AS {s}), '/9:table') WHEN 'purchase' THEN 'complete:ml' ELSE concat('failure:', event_type) END"
 
 
@@ -639,8 +631,12 @@ def table_cells(spark, sf):
 
 
 def queries() -> dict:
+    from . import composites  # noqa: F401  registers its own
+
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import composites  # noqa: F401
+
     return dict(_S)

@@ -68,6 +68,14 @@ def rollup(events: DataFrame) -> DataFrame:
     )
 
 
+def bars(events: DataFrame) -> DataFrame:
+    """(doc_id, finished, of, phase, phase_pages): pages that ended, each once, of all; the phase that began last, and its pages."""
+    phase = F.max(F.when(F.col("event") == "phase", F.struct("event_id", "phase", "count")))
+    page = events.groupBy("doc_id", "page").agg(F.max("of").alias("of"), F.max(F.col("event").isin("complete", "failure").cast("int")).alias("ended"), phase.alias("phase"))
+    doc = page.groupBy("doc_id").agg(F.sum("ended").cast("long").alias("finished"), F.max("of").alias("of"), F.max("phase").alias("p"))
+    return doc.select("doc_id", "finished", "of", F.col("p.phase").alias("phase"), F.col("p.count").alias("phase_pages"))
+
+
 def after(events: DataFrame, last_id: Column | int) -> DataFrame:
     """Replay: what came after the event of this id."""
     return events.where(F.col("event_id") > last_id)
