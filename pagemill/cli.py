@@ -187,7 +187,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, d
         return end(2, str(e))
     if not Path(a.input).is_file():
         return end(4, f"no such file: {a.input}")
-    spark = spark or SparkSession.builder.master(f"local[{max(2, workers)}]").appName("pagemill").getOrCreate()
+    spark = spark or SparkSession.builder.master(f"local[{max(2, workers)}]").appName("pagemill").config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
     ui = Reporter(progress_mode(a.quiet, a.json_logs), sys.stderr)
     try:
         result, _ = run(spark, a.input, settings, a.layout, a.ocr, decoder, rasteriser, tools, lambda rows: ui.event(spark, rows))

@@ -43,13 +43,11 @@ def normalised(text: Column, form: str = "NFC") -> Column:
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        if form == "NFC":
-            # below U+0300 all text is NFC already
-            plain = s.isna() | s.map(lambda t: t is None or t.isascii() or max(t) < "̀")
-            return s if plain.all() else s.where(plain, s.str.normalize(form))
         return s.str.normalize(form)
 
-    return run(text)
+    # below U+0300 all text is NFC already, and ASCII is NFKC: only the rest crosses, the others go along as nulls
+    other = F.regexp_like(text, F.lit(r"[^\x00-\x{2FF}]" if form == "NFC" else r"[^\x00-\x7F]"))
+    return F.coalesce(run(F.when(other, text)), text)
 
 
 # -- Markdown escapes --------------------------------------------------------

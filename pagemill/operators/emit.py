@@ -65,7 +65,8 @@ def with_cells(regions: DataFrame, form: str = "NFC") -> DataFrame:
 
 def blocks(regions: DataFrame, form: str = "NFC", apply_bidi: bool = True) -> DataFrame:
     """(doc_id, page_index, seq, role, block): block null where a region renders nothing."""
-    base = with_pairing(regions.withColumn("text", F.coalesce("text", F.lit(""))))
+    # one shuffle, by document: groups and runs of a document stay where it is
+    base = with_pairing(regions.withColumn("text", F.coalesce("text", F.lit(""))).repartition("doc_id"))
     base = base.withColumn("plain", text.normalised(F.col("text"), form)).withColumn("alt", text.normalised(F.coalesce("caption_text", F.lit("")), form))
     base = with_cells(base, form)
     said = text.with_rlm(F.col("plain")) if apply_bidi else F.col("plain")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,19 +88,32 @@ def with_column_index(regions: DataFrame) -> DataFrame:
     return unpacked(_with_spans(regions), KEY, col_idx=F.transform("_centres", pick))
 
 
+def bands_of(tops: list[float], tolerance: float) -> list[int]:
+    """Tops in order: a new band where one is more than the tolerance under the band's first."""
+    out, band, first = [], -1, None
+    for top in tops:
+        if first is None or top - first > tolerance:
+            band, first = band + 1, top
+        out.append(band)
+    return out
+
+
+def _bands(tops: Column, tolerance: Column) -> Column:
+    """A fold over a page's regions; not one of Spark's, as those copy what they have built up at each step."""
+
+    @F.arrow_udf("array<int>")
+    def fold(tops: pa.Array, tolerance: pa.Array) -> pa.Array:
+        return pa.array([bands_of(v, t) for v, t in zip(tops.to_pylist(), tolerance.to_pylist(), strict=True)], pa.list_(pa.int32()))
+
+    return fold(tops, tolerance)
+
+
 def with_bands(regions: DataFrame, group: list[str]) -> DataFrame:
     """regions with band and top_rank: by top, a new band where the top is more than the tolerance under the band's first."""
     per = packed(regions, group, "y0", "x0", "seq")
     heights = F.filter(F.transform("rows", lambda r: r["y1"] - r["y0"]), lambda h: h > 0)
     per = per.withColumn("_tol", F.greatest(F.lit(1.0), F.coalesce(median_of(heights), F.lit(1.0)) * BAND))
-    start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(-1).alias("band"), F.array().cast("array<int>").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        new = s["top"].isNull() | (r["y0"] - s["top"] > F.col("_tol"))
-        band = F.when(new, s["band"] + 1).otherwise(s["band"])
-        return F.struct(F.when(new, r["y0"]).otherwise(s["top"]).alias("top"), band.alias("band"), F.concat(s["out"], F.array(band)).alias("out"))
-
-    bands = F.aggregate(F.transform("rows", lambda r: F.struct(r["y0"].alias("y0"))), start, step, lambda s: s["out"])
+    bands = _bands(F.transform("rows", lambda r: r["y0"]), F.col("_tol"))
     return unpacked(per, group, band=bands, top_rank=F.transform("rows", lambda r, k: k))
 
 

@@ -7,17 +7,19 @@ Python, inside mapInArrow, and files come back as (doc_id, content).
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..lineage import kept
 from ..operators.emit import rendered, with_cells, with_pairing
 from ..schemas import grid_shape
 
@@ -31,7 +33,7 @@ def walk(regions: DataFrame, form: str = "NFC", apply_bidi: bool = True, page_br
     A break stands before the first row after the page changes; a table that
     is empty is nothing but still uses it up.
     """
-    base = with_pairing(regions.withColumn("text", F.coalesce("text", F.lit(""))), pick="last").where(rendered())
+    base = with_pairing(regions.withColumn("text", F.coalesce("text", F.lit(""))).repartition("doc_id"), pick="last").where(rendered())
     role, page = F.col("role"), (F.col("page_index") + 1).cast("string")
     raw = F.when(role == "list_item", text.without_marker(F.col("text"), F.col("list_marker.raw_marker"))).otherwise(F.col("text"))
     base = with_cells(base, form)
@@ -117,9 +119,30 @@ def docx(regions: DataFrame, form: str = "NFC", apply_bidi: bool = True, rtl: bo
     return docs.select("doc_id", "rows").mapInArrow(run, "doc_id string, content binary")
 
 
-def write_text(markdown: DataFrame, folder: str) -> None:
-    """One Markdown file a document into a folder that driver and executors share, named by a hash of doc_id."""
-    out = Path(folder)
-    out.mkdir(parents=True, exist_ok=True)
-    for row in markdown.select(F.sha2("doc_id", 256).alias("name"), "markdown").toLocalIterator():
-        (out / f"{row['name'][:16]}.md").write_text(row["markdown"], encoding="utf-8")
+def write_text(markdown: DataFrame, folder: str) -> DataFrame:
+    """One Markdown file a document into a folder on a store that all executors share, written where the document is.
+
+    (doc_id, path, n_bytes) of what was written; a file is named by a hash of doc_id, so a task that runs again writes
+    the same one.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = files_of(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                content, name = r["markdown"].encode(), f"{hashlib.sha256(r['doc_id'].encode()).hexdigest()[:16]}.md"
+                with store.open_output_stream(f"{root}/{name}") as f:
+                    f.write(content)
+                rows.append((r["doc_id"], f"{folder}/{name}", len(content)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["doc_id", "path", "n_bytes"])
+
+    return kept(markdown.select("doc_id", F.coalesce("markdown", F.lit("")).alias("markdown")).mapInArrow(run, "doc_id string, path string, n_bytes long"))
+
+
+def files_of(path: str) -> tuple[fs.FileSystem, str]:
+    """(file system, path there) of a path as Spark has it."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)

@@ -3,6 +3,7 @@
 import io
 import json
 import random
+import time
 import zipfile
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill import config, schemas
-from pagemill.operators import emit, extract, images, order, recognise, roles, transcribe, validate
+from pagemill.operators import audit, emit, extract, images, order, recognise, roles, transcribe, validate
 from pagemill.sources import documents, docx
 from pagemill.streaming import progress
 
@@ -235,6 +236,47 @@ def test_stream_equals_batch(spark, tmp_path):
     streamed = sorted(r.page for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert streamed == sorted(r.page for r in progress.finished_pages(progress.parsed(df)).collect()) == [2, 3, 4]
     roll = progress.rollup(progress.parsed(df)).collect()[0]
-    assert (roll.n_events, roll.pages_finished, roll.pages_done, roll.pages_failed, roll.regions) == (7, 3, 3, 1, 1)
+    assert (roll.n_events, roll.pages_finished, roll.pages_done, roll.pages_failed, roll.regions) == (7, 3, 2, 1, 1)
     lines = [r.value for r in progress.as_json(progress.line_events(progress.parsed(df))).collect()]
     assert len(lines) == 6 and '"reason":"x:y"' in "".join(lines)
+
+
+def test_text_files_are_written_where_documents_are(spark, tmp_path):
+    rows = [("a", "one\n"), ("b/c", "zwei é"), ("d", None)]
+    told = docx.write_text(spark.createDataFrame(rows, "doc_id string, markdown string").repartition(2), str(tmp_path / "new" / "out")).collect()
+    assert {r.doc_id: open(r.path, encoding="utf-8").read() for r in told} == {k: v or "" for k, v in rows}
+    assert {r.doc_id: r.n_bytes for r in told} == {k: len((v or "").encode()) for k, v in rows}
+
+
+def test_folds_equal_plain_loops():
+    rng = random.Random(5)
+    for _ in range(300):
+        values, band = [rng.choice([0.0, 1.0, 2.5, 4.0, 5.5, 9.0]) + rng.random() * 0.2 for _ in range(rng.randrange(0, 30))], rng.choice([0.0, 0.5, 1.5])
+        heads, want = [], []
+        for v in values:
+            k = next((k for k, h in enumerate(heads) if abs(v - h) <= band), len(heads))
+            heads += [v] * (k == len(heads))
+            want.append(k)
+        assert extract.first_within(values, band) == want
+        tops, first, n, bands = sorted(values), None, -1, []
+        for t in tops:
+            if first is None or t - first > band:
+                first, n = t, n + 1
+            bands.append(n)
+        assert order.bands_of(tops, band) == bands
+
+
+def test_a_page_of_many_words_is_quick():
+    begin = time.time()
+    extract.first_within([float(k % 5000) for k in range(100_000)], 0.4)
+    order.bands_of([k * 0.1 for k in range(100_000)], 1.0)
+    assert time.time() - begin < 20
+
+
+def test_closure_of_a_long_chain_with_a_cycle(spark):
+    rows = [(f"N{k}", [f"n{(k + 1) % 30} >=1", "other; extra == 'x'"]) for k in range(30)] + [("far", ["n1"])]
+    d = spark.createDataFrame(rows, "name string, requires array<string>")
+    assert {r.name for r in audit.closure(d, "n0").collect()} == {f"n{k}" for k in range(30)}
+    assert {r.name for r in audit.closure(d, "n0", ("x",)).collect()} == {f"n{k}" for k in range(30)} | {"other"}
+    assert {r.name for r in audit.shipped(d, "n3").collect()} == {f"N{k}" for k in range(30)} - {"N3"}
+    assert audit.shipped(d, "absent").count() == 31
