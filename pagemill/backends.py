@@ -171,6 +171,7 @@ def cached_pictures(pages: DataFrame, rasteriser: Callable[[], object], cache_pa
 class YoloLayout:
     """Boxes of a document layout model, with its labels as roles."""
 
+    # fixed values: where the public weights are, and the side that the model takes
     REPOSITORY, FILE, SIZE = "juliozhao/DocLayout-YOLO-DocStructBench", "doclayout_yolo_docstructbench_imgsz1024.pt", 1024
 
     def __init__(self, device_name: str = "auto", **_):
@@ -215,6 +216,10 @@ class SuryaReader(_Reader):
     def __init__(self, batch_size: int | None = None, formulas: bool = True, **_):
         self.batch_size, self.formulas, self.tools = batch_size, formulas, None
 
+    @staticmethod
+    def picture(image: np.ndarray):
+        return _load("PIL.Image").fromarray(image)
+
     def load(self):
         if self.tools is None:
             detection, foundation, recognition = (_load(f"surya.{m}") for m in ("detection", "foundation", "recognition"))
@@ -227,7 +232,7 @@ class SuryaReader(_Reader):
     def read(self, images: list[np.ndarray]) -> list[list[str]]:
         recognise, detect = self.load()
         sizes = lambda n: {} if n is None else {"recognition_batch_size": n, "detection_batch_size": n}
-        pictures = [_picture(i) for i in images]
+        pictures = [self.picture(i) for i in images]
         give_back()
         try:
             found = recognise(pictures, det_predictor=detect, math_mode=self.formulas, **sizes(self.batch_size))
@@ -267,10 +272,6 @@ class EasyReader(_Reader):
             raise RecognitionError(str(e)) from e
 
 
-def _picture(image: np.ndarray):
-    return _load("PIL.Image").fromarray(image)
-
-
 #: name -> (class, libraries that it needs)
 LAYOUTS: dict[str, tuple[Callable, tuple[str, ...]]] = {"full-page": (lambda **_: FullPage(), ()), "doclayout-yolo": (YoloLayout, ("doclayout_yolo", "huggingface_hub"))}
 READERS: dict[str, tuple[Callable, tuple[str, ...]]] = {"surya": (SuryaReader, ("surya",)), "easyocr-ara": (EasyReader, ("easyocr",))}
@@ -284,18 +285,19 @@ def build(registry: dict, name: str, **options):
     return None if any(importlib.util.find_spec(n) is None for n in needs) else make(**options)
 
 
-def pair(layout: str, reader: str, **options) -> tuple[Callable, Callable] | None:
+def pair(layout: str, reader: str, readers: dict | None = None, **options) -> tuple[Callable, Callable] | None:
     """Factories of a detector and a recogniser for every worker; None unless both are there."""
-    if build(LAYOUTS, layout, **options) is None or build(READERS, reader, **options) is None:
+    readers = readers or READERS
+    if build(LAYOUTS, layout, **options) is None or build(readers, reader, **options) is None:
         return None
-    return lambda: build(LAYOUTS, layout, **options), lambda: build(READERS, reader, **options)
+    return lambda: build(LAYOUTS, layout, **options), lambda: build(readers, reader, **options)
 
 
-def prefetch(layout: str, reader: str, **options) -> None:
+def prefetch(layout: str, reader: str, readers: dict | None = None, **options) -> None:
     """Loads both models by running them once on a blank picture; ModelUnavailable if that fails."""
     blank = np.full((32, 32, 3), 255, np.uint8)
     region = {"x0": 0.0, "y0": 0.0, "x1": 32.0, "y1": 32.0, "role": "paragraph"}
-    for registry, name, use in ((LAYOUTS, layout, lambda t: t.detect(blank, 0)), (READERS, reader, lambda t: t.transcribe(region, blank))):
+    for registry, name, use in ((LAYOUTS, layout, lambda t: t.detect(blank, 0)), (readers or READERS, reader, lambda t: t.transcribe(region, blank))):
         tool = build(registry, name, **options)
         if tool is None:
             raise ModelUnavailable(f"{name} lacks a library")

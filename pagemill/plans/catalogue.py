@@ -482,10 +482,26 @@ def docx_walk(spark, sf):
     return docx.walk(_for_emission(spark, sf)).select(*KEY, "seq", "style", "breaks")
 
 
-@_query()
+@_query(f"WITH {_G} SELECT DISTINCT doc_id, '[Content_Types].xml _rels/.rels word/_rels/document.xml.rels word/styles.xml word/document.xml' AS parts, '1980' AS years, 'Normal Heading 1 Heading 2 Heading 3 Heading 4 Heading 5 Heading 6 Heading 7 Heading 8 Heading 9 List Bullet List Number Quote' AS styles, true AS whole FROM g")
 def docx_files(spark, sf):
-    made = docx.docx(_for_emission(spark, sf))
-    return made.select("doc_id", F.sha2("content", 256).alias("sha256"))
+    """Word files of all documents: their parts, the styles that they name, and whether every part is sound."""
+
+    @F.pandas_udf("parts string, years string, styles string, whole boolean")
+    def opened(files):
+        import io
+        import re
+        import zipfile
+
+        import pandas as pd
+
+        rows = []
+        for f in files:
+            z = zipfile.ZipFile(io.BytesIO(f))
+            styles = re.findall('<w:name w:val="([^"]*)"', z.read("word/styles.xml").decode())
+            rows.append((" ".join(z.namelist()), " ".join(sorted({str(i.date_time[0]) for i in z.infolist()})), " ".join(styles), z.testzip() is None))
+        return pd.DataFrame(rows, columns=["parts", "years", "styles", "whole"])
+
+    return docx.docx(_for_emission(spark, sf)).select("doc_id", opened("content").alias("o")).select("doc_id", "o.*")
 
 
 @_query(f"WITH {_G} SELECT doc_id, page_index, seq, x0, y1, role, source, text, font_size IS NULL AS no_size FROM g")

@@ -9,14 +9,18 @@ import io
 import json
 import os
 import tempfile
+import uuid
 import zipfile
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from .. import config
+from .. import backends, cli, config
 from ..functions import text
+from ..functions.numbers import scale
+from ..lineage import shared
 from ..operators import audit, emit, extract, recognise, roles, transcribe, validate
 from ..schemas import CELL, GRID, as_regions, with_meta
 from ..sources import documents, docx
@@ -351,6 +355,55 @@ def reference_file(spark, sf):
 # -- Settings and tools --------------------------------------------------------------------------
 
 
+_REGION, _BLANK = {"x0": 0.0, "y0": 0.0, "x1": 4.0, "y1": 4.0, "role": "paragraph"}, np.zeros((8, 8, 3), np.uint8)
+_ABSENT = {"absent": (lambda **_: None, ("no_such_library",))}
+
+
+def _caused(inner: Exception) -> Exception:
+    outer = ValueError("outer")
+    outer.__cause__ = inner
+    return outer
+
+
+def _surya(failures: int):
+    """A reader whose device runs out of memory so many times."""
+
+    class Reader(backends.SuryaReader):
+        seen: list = []
+        text = ""
+
+        def read(self, images):
+            out = super().read(images)
+            self.text = "|".join(out[0])
+            return out
+
+    reader = Reader(batch_size=8)
+    reader.seen = []
+
+    def recognise(images, **options):
+        reader.seen.append(options["recognition_batch_size"])
+        if len(reader.seen) <= failures:
+            raise RuntimeError("CUDA out of memory")
+        return [SimpleNamespace(text_lines=[SimpleNamespace(text="a"), SimpleNamespace(text="b")]) for _ in images]
+
+    reader.tools, reader.picture = (recognise, None), lambda image: image
+    return reader
+
+
+def _easy():
+    reader = backends.EasyReader("cpu")
+    reader.reader = SimpleNamespace(readtext=lambda image, **options: [(0, "x"), (1, "y")])
+    return reader
+
+
+def _yolo():
+    listed = lambda v: SimpleNamespace(tolist=lambda: v)
+    found = SimpleNamespace(names={0: "title", 1: "odd"}, boxes=SimpleNamespace(xyxy=listed([[1, 2, 3, 4], [5, 6, 7, 8]]), cls=listed([0, 1]), conf=listed([0.9, 0.4])))
+    layout = backends.YoloLayout("cpu")
+    layout.model = SimpleNamespace(predict=lambda *args, **options: [found])
+    return layout
+
+
 def _outcome(call, *args) -> str:
     try:
         return str(call(*args))
@@ -365,6 +418,9 @@ _SETTINGS = (
     ("pages 1-3,7", "(0, 1, 2, 6)"), ("pages 2, 2 ,1", "(0, 1)"), ("pages 0", "ValueError"), ("pages 3-1", "ValueError"), ("pages none", "None"), ("format a.MD", "md"), ("format a.docx", "docx"), ("format a.docx/md", "FormatMismatch 4"), ("format /docx", "docx"), ("format a.txt", "md"),
     ("workers 3", "3"), ("workers 0", "ValueError"), ("dpi 0", "ValueError"), ("dpi 72", "72"), ("dpi from file", "96"), ("dpi option over file", "300"), ("device from file", "cpu"), ("dtype default", "auto"), ("batch 0", "ValueError"), ("docx without output", "FormatMismatch 4"),
     ("validator round trip", "True"), ("validator top level", "2.5"), ("encrypted", "EncryptedDocument 3"), ("corrupted", "CorruptedDocument 4"), ("model", "ModelUnavailable 5"), ("memory", "OutOfMemory 2"), ("recognition", "RecognitionError 2"),
+    ("device cpu", "cpu"), ("device tpu", "ValueError"), ("dtype auto on cpu", "float32"), ("dtype auto on cuda", "float16"), ("dtype int8", "ValueError"), ("back end unknown", "ValueError"), ("back end without library", "None"), ("pair without library", "None"),
+    ("prefetch without library", "ModelUnavailable 5"), ("decoder without library", "ModelUnavailable 5"), ("scale 144", "2.0"), ("scale 0", "ValueError"), ("memory error in a cause", "True"), ("other error", "False"),
+    ("reader again at batch 1", "8 1 / a|b"), ("reader fails twice", "RecognitionError 2"), ("reader of regions", "x|y"), ("layout labels", "heading unknown"), ("released", "None"), ("progress quiet", "quiet"), ("progress json", "json"), ("progress text", "text"),
 )
 
 
@@ -376,6 +432,7 @@ def settings(spark, sf):
     def fail(kind):
         raise kind
 
+    surya, again = _surya(1), _surya(2)
     with tempfile.TemporaryDirectory() as folder:
         path = os.path.join(folder, "engine.toml")
         with open(path, "w") as f:
@@ -390,6 +447,11 @@ def settings(spark, sf):
             "device from file": lambda: engine(config=path).device, "dtype default": lambda: engine(config=path).dtype, "batch 0": lambda: engine(batch_size=0), "docx without output": lambda: engine(format="docx"),
             "validator round trip": lambda: back == made, "validator top level": lambda: config.ValidatorConfig.of({"max_word_boundary_kl": 2.5, "other": 1}).max_word_boundary_kl,
             "encrypted": lambda: fail(config.EncryptedDocument), "corrupted": lambda: fail(config.CorruptedDocument), "model": lambda: fail(config.ModelUnavailable), "memory": lambda: fail(config.OutOfMemory), "recognition": lambda: fail(config.RecognitionError),
+            "device cpu": lambda: backends.device("cpu"), "device tpu": lambda: backends.device("tpu"), "dtype auto on cpu": lambda: backends.dtype(None, "cpu"), "dtype auto on cuda": lambda: backends.dtype("auto", "cuda"), "dtype int8": lambda: backends.dtype("int8", "cpu"),
+            "back end unknown": lambda: backends.build(backends.READERS, "other"), "back end without library": lambda: backends.build(_ABSENT, "absent"), "pair without library": lambda: backends.pair("full-page", "absent", readers=_ABSENT), "prefetch without library": lambda: backends.prefetch("full-page", "absent", readers=_ABSENT),
+            "decoder without library": lambda: backends._load("no_such_library"), "scale 144": lambda: scale(144), "scale 0": lambda: scale(0), "memory error in a cause": lambda: backends.out_of_device_memory(_caused(RuntimeError("CUDA out of memory"))), "other error": lambda: backends.out_of_device_memory(_caused(KeyError("x"))),
+            "reader again at batch 1": lambda: " ".join(map(str, (surya.transcribe(_REGION, _BLANK), surya.seen)[1])) + " / " + surya.text, "reader fails twice": lambda: again.transcribe(_REGION, _BLANK), "reader of regions": lambda: _easy().transcribe(_REGION, _BLANK).replace("\n", "|"),
+            "layout labels": lambda: " ".join(r["role"] for r in _yolo().detect(_BLANK, 0)), "released": lambda: (surya.release(), surya.tools)[1], "progress quiet": lambda: cli.progress_mode(True, True), "progress json": lambda: cli.progress_mode(False, True), "progress text": lambda: cli.progress_mode(False, False),
         }
         rows = [(name, _outcome(call)) for name, call in calls.items()]
     return spark.createDataFrame(rows, "setting string, outcome string")
@@ -431,3 +493,75 @@ def one_line_grids(spark, sf):
     """Pages as one line of cells: how many, and whether their columns are aligned, which single cells always are."""
     c = extract.cells(_as_words(_boxes(spark, sf)).withColumn("line_seq", F.lit(0)))
     return extract.aligned(c, KEY).join(c.groupBy(*KEY).agg(F.count(F.lit(1)).alias("cells")), KEY).select(*KEY, "aligned", "cells")
+
+
+# -- Files out, pictures, runs --------------------------------------------------------------------
+
+
+@_query("""WITH d AS (SELECT CAST(conv_id AS VARCHAR) AS doc_id, string_agg('<!-- page ' || (turn + 1) || ' -->' || chr(10) || chr(10) || trim(text, ' ' || chr(10)), chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY 1)
+SELECT doc_id, CAST(strlen(markdown) AS BIGINT) AS n_bytes, markdown FROM d""")
+def text_files(spark, sf):
+    """A Markdown file a document, written by the tasks, and what stands in it."""
+    from .catalogue import queries
+
+    told = docx.write_text(queries()["assemble_crops"](spark, sf), f"{shared(spark)}/text-files-{uuid.uuid4().hex}")
+
+    @F.pandas_udf("string")
+    def content(paths: pd.Series) -> pd.Series:
+        def one(path: str) -> str:
+            store, where = docx.files_of(path)
+            with store.open_input_stream(where) as f:
+                return f.read().decode()
+
+        return paths.map(one)
+
+    return told.select("doc_id", "n_bytes", content("path").alias("markdown"))
+
+
+@_query("""SELECT 'doc' || p_partkey AS doc_id, k AS page_index, layout, 'size' AS model, CASE layout WHEN 'full-page' THEN '$30$ by 20' ELSE chr(10) || chr(10) || '$30$ by 10' END AS text
+FROM (SELECT p_partkey, unnest([0, 1, 2]) AS k FROM part), (SELECT unnest(['full-page', 'two']) AS layout)""")
+def picture_survey(spark, sf):
+    """Pages rendered once for equal contents, and every pair of back ends over the pictures."""
+    pages = _table(spark, sf, "part").select(F.concat(F.lit("doc"), "p_partkey").alias("doc_id"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("page_index"), (F.col("p_partkey") % 5).cast("string").alias("digest"))
+    folder = f"{shared(spark)}/survey-{uuid.uuid4().hex}"
+    pictures = backends.cached_pictures(pages, BlankPages, f"{folder}/pictures")
+    keyed = pictures.withColumn("key", F.concat_ws(":", "digest", "page_index"))
+    found = backends.survey(keyed.select("key", "height", "width", "pixels").dropDuplicates(["key"]), ["full-page", "two"], ["size"], f"{folder}/runs", make=_stand_in)
+    return keyed.select("doc_id", "page_index", "key").join(found, "key").select("doc_id", "page_index", "layout", "model", "text")
+
+
+def _stand_in(registry: dict, name: str):
+    return {"size": FigureSkipper, "two": TwoRegions}[name]() if name in ("size", "two") else backends.build(registry, name)
+
+
+class FigureSkipper(SizeReader):
+    def transcribe(self, region: dict, image: np.ndarray) -> str:
+        return "" if region["role"] == "figure" else super().transcribe(region, image)
+
+
+@_query("""SELECT * FROM (VALUES (0, 'phase:start:validate:3'), (0, 'start'), (1, 'start'), (2, 'start'), (0, 'phase:start:rasterise:2'), (0, 'phase:start:layout:2'), (0, 'phase:start:ocr:2'), (0, 'complete:native'), (1, 'complete:ml'), (2, 'failure:RuntimeError:dark')) AS t(page_index, event)""")
+def events_of_a_run(spark, sf):
+    """What a run over a file of three pages reports: one with text, one that is recognised, one that can't be."""
+    words = "this page has a layer of text which reads like any other page of words does".split()
+    glyphs = [[c, 50 + 6 * (10 * k + j), 700, 56 + 6 * (10 * k + j), 710] for k, w in enumerate(words) for j, c in enumerate(w + " ")]
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "three.json")
+        with open(path, "w") as f:
+            json.dump([{"width": 612, "height": 792, "glyphs": g} for g in (glyphs, [], [])], f)
+        rows: list = []
+        cli.run(spark, path, config.EngineConfig(), rasteriser=DarkPages, tools=(TwoRegions, SizeReader), report=rows.extend)
+    return spark.createDataFrame([(page, event) for _, page, _, event in rows], "page_index int, event string")
+
+
+class DarkPages(BlankPages):
+    def render(self, doc_id: str, page_index: int, scale: float) -> np.ndarray:
+        if page_index == 2:
+            raise RuntimeError("dark")
+        return super().render(doc_id, page_index, scale)
+
+
+@_query("SELECT 'pyspark' AS name, true AS has_version, true AS needs_py4j")
+def installed_library(spark, sf):
+    """The distributions of this installation, by one that is always among them."""
+    d = documents.installed(spark).where("lower(name) = 'pyspark'").dropDuplicates(["name"])
+    return d.select(F.lower("name").alias("name"), (F.col("version") != "0").alias("has_version"), F.exists("requires", lambda r: F.startswith(F.lower(r), F.lit("py4j"))).alias("needs_py4j"))

@@ -145,7 +145,7 @@ def test_one_more_call_at_batch_one(monkeypatch, errors, works):
 
     reader = backends.SuryaReader(batch_size=8)
     reader.tools = recognise, None
-    monkeypatch.setattr(backends, "_picture", lambda i: i)
+    reader.picture = lambda i: i
     regions = [{"x0": 0, "y0": 0, "x1": 3, "y1": 3, "role": r} for r in ("figure", "paragraph", "table")]
     if works:
         assert reader.transcribe_page(regions, np.zeros((9, 9, 3), np.uint8)) == ["", "a\nb", "a\nb"]
