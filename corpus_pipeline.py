@@ -10,8 +10,12 @@ decontaminate  documents that hold a benchmark item within its error budget go
 pii            personal data in the texts gives way to its kind; n_chars follows
 mixture        rows (doc_id, domain, lang, source, epoch, n_tokens) that meet the target weights
 
-Empty tables give empty results; null texts are empty texts; columns besides
-those of documents go along until the last stage.
+Empty tables give empty results; null texts are empty texts; rows that repeat
+are rows of their own until near_copies; a null doc_id stays; texts are taken
+whole, however long; ties go to the smallest doc_id.  Columns besides those of
+documents go along until the last stage, whatever they are called, but for
+_quality_score and _quality_class, which the first stage takes for itself and
+drops, and domain, which the last one makes anew from source.
 """
 
 from __future__ import annotations
