@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from statistics import median
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import median_of
+from ..functions.numbers import bound, median_of
 
 KEY = ["doc_id", "page_index"]
 # Bins across a page, least gutter and band as fractions, columns at most, regions at least.
@@ -54,16 +56,20 @@ def column_spans(centres: Column, width: Column) -> Column:
         new = (F.size(runs) == 0) | ((k - F.try_element_at(runs, F.lit(-1))["b"] - 1 >= widest) & (F.size(runs) < MOST_COLUMNS))
         return F.when(new, F.concat(runs, F.array(run(k, k)))).otherwise(F.concat(F.slice(runs, F.lit(1), F.greatest(F.size(runs) - 1, F.lit(0))), F.array(run(last["a"], k))))
 
-    runs = F.aggregate(bins, F.array().cast("array<struct<a:int,b:int>>"), grow)
     edge = lambda r: (r["b"] + 1) * step
+    whole = F.array(F.struct(F.lit(0.0).alias("x0"), F.when(width <= 0, F.greatest(F.lit(1.0), width)).otherwise(width).alias("x1")))
 
-    def tile(r: Column, k: Column) -> Column:
-        left = F.when(k > 0, (edge(F.get(runs, k - 1)) + r["a"] * step) * 0.5).otherwise(0.0)
-        right = F.when(k < F.size(runs) - 1, (edge(r) + F.get(runs, k + 1)["a"] * step) * 0.5).otherwise(width)
-        return F.struct(left.alias("x0"), right.alias("x1"))
+    def tiles(runs: Column) -> Column:
+        def tile(r: Column, k: Column) -> Column:
+            left = F.when(k > 0, (edge(F.get(runs, k - 1)) + r["a"] * step) * 0.5).otherwise(0.0)
+            right = F.when(k < F.size(runs) - 1, (edge(r) + F.get(runs, k + 1)["a"] * step) * 0.5).otherwise(width)
+            return F.struct(left.alias("x0"), right.alias("x1"))
 
-    whole = F.array(F.struct(F.lit(0.0).alias("x0"), F.when(width <= 0, F.greatest(F.lit(1.0), width)).otherwise(width).alias("x1")))
-    return F.when((width <= 0) | (F.size(centres) < FEWEST_REGIONS), whole).otherwise(F.when(F.size(runs) > 0, F.transform(runs, tile)).otherwise(whole))
+        return F.when(F.size(runs) > 0, F.transform(runs, tile)).otherwise(whole)
+
+    # the fold is bound: it is worked out once however often the tiles take it
+    runs = F.aggregate(bins, F.array().cast("array<struct<a:int,b:int>>"), grow)
+    return F.when((width <= 0) | (F.size(centres) < FEWEST_REGIONS), whole).otherwise(bound(runs, tiles))
 
 
 def _with_spans(regions: DataFrame) -> DataFrame:
@@ -75,17 +81,24 @@ def _with_spans(regions: DataFrame) -> DataFrame:
 
 def columns(regions: DataFrame) -> DataFrame:
     """(page, col_idx, x0, x1): the columns that tile each page of regions (with page_width)."""
-    return _with_spans(regions).select(*KEY, F.posexplode("_cols").alias("col_idx", "c")).select(*KEY, "col_idx", "c.x0", "c.x1")
+    page = regions.groupBy(*KEY).agg(F.collect_list(centre()).alias("centres"), F.min_by("page_width", "seq").alias("width"))
+    return page.select(*KEY, F.posexplode(column_spans(F.col("centres"), F.col("width"))).alias("col_idx", "c")).select(*KEY, "col_idx", "c.x0", "c.x1")
 
 
-def with_column_index(regions: DataFrame) -> DataFrame:
-    """regions with col_idx: the first column that holds the centre; right of all the last, else the first."""
+def column_indices() -> Column:
+    """Of the rows of _with_spans: the first column that holds the centre; right of all the last, else the first."""
+
     def pick(x: Column) -> Column:
         cols = F.transform("_cols", lambda c, k: F.struct(c["x0"].alias("x0"), c["x1"].alias("x1"), k.alias("k")))
         inside, beyond = F.filter(cols, lambda c: (c["x0"] <= x) & (x <= c["x1"])), F.filter(cols, lambda c: x > c["x1"])
         return F.coalesce(F.try_element_at(inside, F.lit(1))["k"], F.try_element_at(beyond, F.lit(-1))["k"], F.lit(0))
 
-    return unpacked(_with_spans(regions), KEY, col_idx=F.transform("_centres", pick))
+    return F.transform("_centres", pick)
+
+
+def with_column_index(regions: DataFrame) -> DataFrame:
+    """regions with col_idx."""
+    return unpacked(_with_spans(regions), KEY, col_idx=column_indices())
 
 
 def bands_of(tops: list[float], tolerance: float) -> list[int]:
@@ -117,10 +130,42 @@ def with_bands(regions: DataFrame, group: list[str]) -> DataFrame:
     return unpacked(per, group, band=bands, top_rank=F.transform("rows", lambda r, k: k))
 
 
+def column_of(x: float, spans: list[dict]) -> int:
+    """As column_indices has it, for one centre."""
+    inside = next((k for k, s in enumerate(spans) if s["x0"] <= x <= s["x1"]), None)
+    return inside if inside is not None else max((k for k, s in enumerate(spans) if x > s["x1"]), default=0)
+
+
+def tolerance_of(heights: list[float]) -> float:
+    """How far under a band's first top another one may be."""
+    tall = [h for h in heights if h > 0]
+    return max(1.0, (median(tall) if tall else 1.0) * BAND)
+
+
+def reading_order(boxes: list[dict], columns_: list[int], rtl: bool) -> list[int]:
+    """The place of each box of a page (in the order of seq): columns, bands, then right or left edges, tops, and as they stood."""
+    keys: list[tuple] = [()] * len(boxes)
+    for column in set(columns_):
+        own = sorted((k for k, c in enumerate(columns_) if c == column), key=lambda k: (boxes[k]["y0"], boxes[k]["x0"], k))
+        bands = bands_of([boxes[k]["y0"] for k in own], tolerance_of([boxes[k]["y1"] - boxes[k]["y0"] for k in own]))
+        for rank, (k, band) in enumerate(zip(own, bands, strict=True)):
+            keys[k] = (-column if rtl else column, band, -boxes[k]["x1"] if rtl else boxes[k]["x0"], boxes[k]["y0"], rank)
+    out = [0] * len(boxes)
+    for place, k in enumerate(sorted(range(len(boxes)), key=keys.__getitem__)):
+        out[k] = place
+    return out
+
+
 def reorder(regions: DataFrame, rtl: bool = True) -> DataFrame:
-    """regions (with page_width) with seq in reading order; columns, bands, then right or left edges."""
-    placed = with_bands(with_column_index(regions), [*KEY, "col_idx"])
-    across = [F.desc("col_idx") if rtl else F.asc("col_idx"), F.asc("band")]
-    within = [F.desc("x1"), F.asc("y0")] if rtl else [F.asc("x0"), F.asc("y0")]
-    w = Window.partitionBy(*KEY).orderBy(*across, *within, "top_rank")
-    return placed.withColumn("seq", (F.row_number().over(w) - 1).cast("int")).drop("col_idx", "band", "top_rank")
+    """regions (with page_width) with seq in reading order; columns, bands, then right or left edges. One packed page serves all three."""
+
+    @F.arrow_udf("array<int>")
+    def places(x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array, spans: pa.Array) -> pa.Array:
+        out = []
+        for a, b, c, d, cols in zip(x0.to_pylist(), y0.to_pylist(), x1.to_pylist(), y1.to_pylist(), spans.to_pylist(), strict=True):
+            boxes = [{"x0": p, "y0": q, "x1": r, "y1": t} for p, q, r, t in zip(a, b, c, d, strict=True)]
+            out.append(reading_order(boxes, [column_of((p + r) * 0.5, cols) for p, r in zip(a, c, strict=True)], rtl))
+        return pa.array(out, pa.list_(pa.int32()))
+
+    side = lambda c: F.transform("rows", lambda r: r[c])
+    return unpacked(_with_spans(regions), KEY, _place=places(side("x0"), side("y0"), side("x1"), side("y1"), F.col("_cols"))).withColumn("seq", F.col("_place")).drop("_place")
