@@ -34,6 +34,5 @@ def test_query_equals_sql(spark, duck, tmp_path, name):
     assert duck.sql("select * from b except all select * from a").fetchall() == []
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
-def test_query_without_sql_runs(spark, name):
-    assert catalogue.queries()[name](spark, SF).count() > 0
+def test_every_query_has_sql():
+    assert set(catalogue.queries()) == set(catalogue.oracle_sql())
