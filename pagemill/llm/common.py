@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +121,13 @@ def merged_tables(parts: DataFrame, merge: Callable[[Iterator[pa.RecordBatch]],
     return parts.repartition(pieces, "piece").mapInArrow(merge, parts.schema)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system at the end of a task: a worker that waits for the next stage stays small."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def bits_of(words: list, n_bits: int) -> np.ndarray:
     """A packed bit set from rows (number of a 32-bit word, its bits)."""
     filled = np.zeros(n_bits // 32, "<u4")

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bits_of, few_large_tasks, has_bits, merged_tables, spread_join, table, written
+from .common import bits_of, few_large_tasks, has_bits, merged_tables, spread_join, table, trim, written
 from .components import components, roots
 from .shingles import HASH_BITS, MASK, blocks, buffers, mix, ordered_sets
 
@@ -82,6 +82,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
                 h, _, _ = ordered_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 cell, n = np.unique((h & np.uint64(CELLS - 1)).astype(np.int64), return_counts=True)
                 total[cell] += n.astype(np.uint32)
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([zlib.compress(total[p * size : (p + 1) * size].tobytes(), 1) for p in range(PIECES)], pa.binary())], ["piece", "counts"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,6 +158,7 @@ def _described(docs: DataFrame, level, least: np.ndarray) -> DataFrame:
                 at = np.arange(int(p.sum())) + np.repeat(start[:-1] - (np.cumsum(p) - p), p)
                 cost = np.bincount(np.repeat(np.arange(j - i), p), expected_count(lv[at], least), j - i)
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n, pa.int64()), pa.array(digest), pa.array(cost.astype(float)), _binary(_pack(h[at]), 6 * p), _binary(lv[at], p)], ["doc_id", "n", "node", "scan", "head", "ranks"])
+        trim()
 
     return docs.mapInArrow(run, "doc_id long, n long, node long, scan double, head binary, ranks binary")
 
@@ -212,6 +214,7 @@ def _postings(nodes: DataFrame, boundary: int, least: np.ndarray) -> DataFrame:
                 rows.append(row)
             key, row = np.concatenate(keys), np.concatenate(rows)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n[row].astype(np.int32)), pa.array(node[row])], ["key", "n", "node"])
+        trim()
 
     return nodes.select("n", "node", "head", "ranks").mapInArrow(run, "key long, n int, node long")
 
@@ -334,6 +337,7 @@ def _wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if batch.num_rows:
                 for _, _, n, _, h, _, digest in _set_rows(batch, flat):
                     yield pa.RecordBatch.from_arrays([pa.array(digest), _binary(_pack(h), 6 * n)], ["node", "shingles"])
+        trim()
 
     return docs.select("text", bit.alias("bit")).mapInArrow(run, "node long, shingles binary")
 
