@@ -15,6 +15,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from .. import backends, cli, config
@@ -82,11 +83,12 @@ FROM (SELECT DISTINCT doc_id FROM e) LEFT JOIN x USING (doc_id) GROUP BY 1""")
 def docx_every_role(spark, sf):
     """The main part of every document's Word file."""
 
-    @F.pandas_udf("string")
-    def main_part(files: pd.Series) -> pd.Series:
-        return files.map(lambda f: zipfile.ZipFile(io.BytesIO(f)).read("word/document.xml").decode())
+    def main_part(batches):
+        for batch in docx.slices(batches):
+            xml = [zipfile.ZipFile(io.BytesIO(f)).read("word/document.xml").decode() for f in batch.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(xml, pa.string())], ["doc_id", "xml"])
 
-    return docx.docx(_every_role(spark, sf)).select("doc_id", main_part("content").alias("xml"))
+    return docx.docx(_every_role(spark, sf)).mapInArrow(main_part, "doc_id string, xml string")
 
 
 # -- Text ---------------------------------------------------------------------------

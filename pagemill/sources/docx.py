@@ -33,7 +33,12 @@ def walk(regions: DataFrame, form: str = "NFC", apply_bidi: bool = True, page_br
     A break stands before the first row after the page changes; a table that
     is empty is nothing but still uses it up.
     """
-    base = with_pairing(regions.withColumn("text", F.coalesce("text", F.lit(""))).repartition("doc_id"), pick="last").where(rendered())
+    return _walked(regions, form, apply_bidi, page_breaks).where("kind <> 'none'")
+
+
+def _walked(regions: DataFrame, form: str, apply_bidi: bool, page_breaks: bool) -> DataFrame:
+    """The rows of walk and, of kind none, those that put nothing down; a document's rows are in one partition."""
+    base = with_pairing(regions.withColumn("text", F.coalesce("text", F.lit(""))).repartition("doc_id"), pick="last").withColumn("shown", F.coalesce(rendered(), F.lit(False)))
     role, page = F.col("role"), (F.col("page_index") + 1).cast("string")
     raw = F.when(role == "list_item", text.without_marker(F.col("text"), F.col("list_marker.raw_marker"))).otherwise(F.col("text"))
     base = with_cells(base, form)
@@ -45,9 +50,11 @@ def walk(regions: DataFrame, form: str = "NFC", apply_bidi: bool = True, page_br
     failure = F.concat(F.lit("Transcription failed (page "), page, F.lit("): "), text.failure_reason(F.when(F.coalesce("failure_reason", F.lit("")) != "", F.col("failure_reason")).otherwise("unknown")))
     body = F.when(role == "figure", figure).when(role == "failure_placeholder", failure).when(role == "table", "").otherwise(said)
     w = Window.partitionBy("doc_id").orderBy("page_index", "seq")
-    breaks = F.coalesce(F.lag("page_index").over(w) != F.col("page_index"), F.lit(False)) & F.lit(page_breaks)
+    # of shown rows only, a null page among them
+    last = F.last(F.when(F.col("shown"), F.struct("page_index")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    breaks = F.coalesce(last["page_index"] != F.col("page_index"), F.lit(False)) & F.lit(page_breaks)
     n_rows, n_cols = grid_shape(F.col("table_grid"))
-    kind = F.when(role == "table", F.when((n_rows == 0) | (n_cols == 0), "empty").otherwise("table")).when(role == "caption", "italic").otherwise("paragraph")
+    kind = F.when(~F.col("shown"), "none").when(role == "table", F.when((n_rows == 0) | (n_cols == 0), "empty").otherwise("table")).when(role == "caption", "italic").otherwise("paragraph")
     return base.select("doc_id", "page_index", "seq", kind.alias("kind"), style.alias("style"), body.alias("text"), "cells", n_cols.alias("n_cols"), F.coalesce("merged_cells", F.lit(False)).alias("note"), breaks.alias("breaks"))
 
 
@@ -68,21 +75,22 @@ def _table(cells: list[list[str]], n_cols: int, rtl: bool) -> str:
     return f"<w:tbl><w:tblPr>{'<w:bidiVisual/>' * rtl}</w:tblPr><w:tblGrid>{'<w:gridCol/>' * n_cols}</w:tblGrid>{rows}</w:tbl>"
 
 
+def _row_xml(r: dict, rtl: bool) -> str:
+    if r["kind"] not in ("table", "empty"):
+        return _paragraph(r["text"], r["style"], rtl, r["breaks"], r["kind"] == "italic")
+    before = _paragraph("", "Normal", rtl, breaks=True) if r["breaks"] else ""
+    if r["kind"] == "empty":
+        return before
+    note = _paragraph("(v1: merged cells flattened)", "Normal", rtl) if r["note"] else ""
+    return before + note + _table(r["cells"], r["n_cols"], rtl)
+
+
 def document_xml(rows: list[dict], rtl: bool = True) -> str:
-    body, pending = [], False
-    for r in rows:
-        pending = pending or r["breaks"]
-        if r["kind"] in ("table", "empty"):
-            if pending:
-                body.append(_paragraph("", "Normal", rtl, breaks=True))
-            if r["kind"] == "table":
-                if r["note"]:
-                    body.append(_paragraph("(v1: merged cells flattened)", "Normal", rtl))
-                body.append(_table(r["cells"], r["n_cols"], rtl))
-        else:
-            body.append(_paragraph(r["text"], r["style"], rtl, pending, r["kind"] == "italic"))
-        pending = False
-    return f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><w:document xmlns:w="{_W}"><w:body>{"".join(body)}<w:sectPr/></w:body></w:document>'
+    return _whole("".join(_row_xml(r, rtl) for r in rows))
+
+
+def _whole(body: str) -> str:
+    return f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><w:document xmlns:w="{_W}"><w:body>{body}<w:sectPr/></w:body></w:document>'
 
 
 def package(xml: str) -> bytes:
@@ -105,18 +113,52 @@ def package(xml: str) -> bytes:
     return out.getvalue()
 
 
-def docx(regions: DataFrame, form: str = "NFC", apply_bidi: bool = True, rtl: bool = True, page_breaks: bool = True) -> DataFrame:
-    """(doc_id, content): a Word file for every document that has regions."""
-    rows = walk(regions, form, apply_bidi, page_breaks)
-    row = F.struct("page_index", "seq", "kind", "style", "text", "cells", "n_cols", "note", "breaks")
-    docs = regions.select("doc_id").distinct().join(rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_index", "seq", row.alias("row")))).alias("rows")), "doc_id", "left")
+#: Rows that are Python objects at a time, and bytes of files in one batch.
+SLICE_ROWS, SLICE_BYTES = 500, 1 << 20
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            files = [package(document_xml([x["row"] for x in rows or []], rtl)) for rows in batch.column("rows").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(files, pa.binary())], ["doc_id", "content"])
 
-    return docs.select("doc_id", "rows").mapInArrow(run, "doc_id string, content binary")
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
+def _files(batches: Iterator[pa.RecordBatch], rtl: bool) -> Iterator[pa.RecordBatch]:
+    """A file for each run of rows with one doc_id."""
+    ids, files, last, parts = [], [], None, None
+
+    def out() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(files, pa.binary())], ["doc_id", "content"])
+        ids.clear()
+        files.clear()
+        return batch
+
+    def end() -> None:
+        ids.append(last)
+        files.append(package(_whole("".join(parts))))
+
+    for batch in slices(batches):
+        for r in batch.to_pylist():
+            if parts is None or r["doc_id"] != last:
+                if parts is not None:
+                    end()
+                    if sum(map(len, files)) >= SLICE_BYTES:
+                        yield out()
+                last, parts = r["doc_id"], []
+            if r["kind"] != "none":
+                parts.append(_row_xml(r, rtl))
+    if parts is not None:
+        end()
+        yield out()
+
+
+def docx(regions: DataFrame, form: str = "NFC", apply_bidi: bool = True, rtl: bool = True, page_breaks: bool = True) -> DataFrame:
+    """(doc_id, content): a Word file for every document that has regions.
+
+    Rows stream through a task in order; of its documents it holds the parts of one, and files of SLICE_BYTES.
+    """
+    rows = _walked(regions, form, apply_bidi, page_breaks).withColumn("doc_id", F.col("doc_id").cast("string"))
+    return rows.sortWithinPartitions(*rows.columns).mapInArrow(lambda b: _files(b, rtl), "doc_id string, content binary")
 
 
 def write_text(markdown: DataFrame, folder: str) -> DataFrame:

@@ -144,6 +144,29 @@ def test_docx(spark):
     assert xml.count("<w:pageBreakBefore/>") == 2 and "ListNumber" in xml and "Figure on page 1: A [cap]" in xml and "never" not in xml and xml.count("<w:tbl>") == 2
 
 
+def test_docx_streams(spark):
+    """Files come out while rows still come in, and documents that show nothing or cross a batch are whole."""
+    df = regions(spark, [{"doc_id": f"d{k // 6:04d}", "seq": k % 6, "text": f"t{k} {'x' * 200}", "role": "header_footer" if k // 6 % 10 == 0 else "paragraph"} for k in range(30_000)])
+    rows = docx._walked(df, "NFC", True, True).toArrow().sort_by([(c, "ascending") for c in ("doc_id", "page_index", "seq")])
+    read = 0
+
+    def batches():
+        nonlocal read
+        for batch in rows.to_batches(max_chunksize=1000):
+            read += 1
+            yield batch
+
+    out = docx._files(batches(), True)
+    first = next(out)
+    assert read < 25 and first.nbytes < 3 * docx.SLICE_BYTES
+    files = [f for batch in (first, *out) for f in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist(), strict=True)]
+    assert [k for k, _ in files] == [f"d{k:04d}" for k in range(5000)]
+    for k, content in files[::99]:
+        xml, at = zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml").decode(), int(k[1:])
+        assert [f"t{j} " in xml for j in range(6 * at - 6, 6 * at + 12)] == [False] * 6 + [at % 10 > 0] * 6 + [False] * 6
+    assert {r.doc_id: bytes(r.content) for r in docx.docx(df.where("doc_id < 'd0300'")).collect()} == dict(files[:300])
+
+
 def test_json_envelope(spark):
     df = regions(spark, SNAPSHOT)
     j = schemas.to_json(df)
