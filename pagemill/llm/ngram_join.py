@@ -19,7 +19,9 @@ Sets are the distinct five-word shingles of whole texts; two link when
    shingles are salted; the unbroken runs of their parts are joined where sizes
    let link, which gives the components of the whole list.
 5. Each component's sets meet once: a small one as one group, a large one as
-   blocks by size class and salt, each two that sizes let link.  There all
+   blocks by size class and salt, each two that sizes let link.  Blocks are
+   stored once, in files of the shared folder that tasks read by ranges, so a
+   large component's sets take disk in proportion to their number.  There all
    intersections are counted and the links come out, each from the one group
    that owns it: the group of its two blocks, or of its one block with itself.
 6. Components of the links, the smallest doc_id of each, and links a document,
@@ -36,6 +38,7 @@ its members have none.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -44,9 +47,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bits_of, few_large_tasks, has_bits, merged_tables, spread_join, table, trim, written
+from .common import bits_of, few_large_tasks, has_bits, merged_tables, scratch, spread_join, table, trim, written
 from .components import components, roots
 from .shingles import HASH_BITS, MASK, blocks, buffers, mix, ordered_sets
+from .warc import files_of
 
 #: Cells of the sketch, and the pieces in which it travels (16 MB of counts reach the driver, 4 MB each task).
 CELLS, PIECES = 1 << 22, 64
@@ -302,26 +306,113 @@ def _candidates(nodes: DataFrame, boundary: int, least: np.ndarray) -> DataFrame
     return light.unionByName(found.where("kind = 1").select("a", "b").distinct()).unionByName(joined)
 
 
-def _grouped(members: DataFrame) -> DataFrame:
-    """(node, copies, group, second) from (node, n, copies, root): one group a component, or one for each two of its blocks that
-    may link; second: the row's block is the second of two."""
+def _placed(members: DataFrame) -> DataFrame:
+    """members (node, n, copies, root) with their size class, the size of their component (all) and, of a large one, the block's salt s among salts[class]."""
     members = members.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(_CLASS))).cast("int"))
     counts = members.groupBy("root", "class").agg(F.count(F.lit(1)).alias("rows"))
     shape = counts.groupBy("root").agg(F.sum("rows").alias("all"), F.map_from_entries(F.collect_list(F.struct("class", F.ceil(F.col("rows") / BLOCK).cast("int")))).alias("salts"))
-    placed = members.join(shape, "root")
-    small = placed.where(F.col("all") <= BLOCK).select("node", "copies", F.struct("root", F.lit(0).alias("c1"), F.lit(0).alias("s1"), F.lit(0).alias("c2"), F.lit(0).alias("s2")).alias("group"), F.lit(False).alias("second"))
-    own = F.pmod(F.xxhash64("node"), F.element_at("salts", F.col("class"))).cast("int").alias("s")
-    large = placed.where(F.col("all") > BLOCK).withColumn("s", own)
+    return members.join(shape, "root").withColumn("s", F.pmod(F.xxhash64("node"), F.element_at("salts", F.col("class"))).cast("int"))
+
+
+def _whole_groups(placed: DataFrame) -> DataFrame:
+    """(node, copies, group, second) of components that are one group each."""
+    return placed.where(F.col("all") <= BLOCK).select("node", "copies", F.struct("root", F.lit(0).alias("c1"), F.lit(0).alias("s1"), F.lit(0).alias("c2"), F.lit(0).alias("s2")).alias("group"), F.lit(False).alias("second"))
+
+
+def _block_groups(placed: DataFrame) -> DataFrame:
+    """(node, copies, group, second) of large components, one group for each two of their blocks that may link; second: the
+    row's block is the second of two. Only for stores that tasks can't read by ranges: each set goes to all its groups."""
+    large = placed.where(F.col("all") > BLOCK)
     salts = lambda d: F.coalesce(F.try_element_at("salts", F.col("class") + d), F.lit(0))
     block = lambda d, s: F.struct((F.col("class") + d).alias("c"), s.cast("int").alias("s"))
     blocks_of = lambda d: F.transform(F.slice(F.sequence(F.lit(0), salts(d)), F.lit(1), salts(d)), lambda s: block(d, s))
-    near = [blocks_of(d) for d in range(-2, 3)]
-    other = F.flatten(F.array(*near))
-    large = large.withColumn("other", F.explode(other))
+    large = large.withColumn("other", F.explode(F.flatten(F.array(*[blocks_of(d) for d in range(-2, 3)]))))
     mine, theirs = F.struct(F.col("class").alias("c"), F.col("s").alias("s")), F.col("other")
     one, two = F.least(mine, theirs), F.greatest(mine, theirs)
-    large = large.select("node", "copies", F.struct("root", one["c"].alias("c1"), one["s"].alias("s1"), two["c"].alias("c2"), two["s"].alias("s2")).alias("group"), (mine > theirs).alias("second"))
-    return small.unionByName(large)
+    return large.select("node", "copies", F.struct("root", one["c"].alias("c1"), one["s"].alias("s1"), two["c"].alias("c2"), two["s"].alias("s2")).alias("group"), (mine > theirs).alias("second"))
+
+
+def _stored_blocks(placed: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
+    """(root, class, s, path, at, size, raw): where in the folder's files each block of a large component stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, name, found, at = None, f"{folder}/{uuid.uuid4().hex}", [], 0
+        key, nodes, copies, packed = None, [], [], []
+
+        def put(file) -> int:
+            sizes = np.array([len(x) for x in packed], np.int64)
+            raw = np.array([len(nodes)], np.int64).tobytes() + np.array(nodes, np.int64).tobytes() + np.array(copies, np.int64).tobytes() + sizes.tobytes() + b"".join(packed)
+            content = pa.compress(raw, codec="zstd", asbytes=True)
+            file.write(content)
+            found.append((*key, name, at, len(content), len(raw)))
+            return at + len(content)
+
+        file = None
+        try:
+            for batch in batches:
+                rows = zip(*(batch.column(c).to_pylist() for c in ("root", "class", "s", "node", "copies", "shingles")), strict=True)
+                for *here, node, n, shingles in rows:
+                    if here != key:
+                        if file is None:
+                            store, place = files_of(name)
+                            store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                            file = store.open_output_stream(place)
+                        if nodes:
+                            at = put(file)
+                        key, nodes, copies, packed = here, [], [], []
+                    if not nodes or nodes[-1] != node:  # copies may have come through the filter
+                        nodes.append(node)
+                        copies.append(n)
+                        packed.append(shingles)
+            if nodes:
+                at = put(file)
+        finally:
+            if file is not None:
+                file.close()
+        trim()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], schema=pa.schema([("root", pa.int64()), ("class", pa.int32()), ("s", pa.int32()), ("path", pa.string()), ("at", pa.int64()), ("size", pa.int64()), ("raw", pa.int64())]))
+
+    rows = placed.where(F.col("all") > BLOCK).select("root", "class", "s", "node", "copies").join(sets, "node").repartition("root", "class", "s").sortWithinPartitions("root", "class", "s", "node")
+    return rows.select("root", "class", "s", "node", "copies", "shingles").mapInArrow(run, "root long, class int, s int, path string, at long, size long, raw long")
+
+
+def _block_pairs(index: DataFrame) -> DataFrame:
+    """Each two blocks of a component that sizes let link, and each with itself, dealt to tasks."""
+    block = F.struct("class", "s", "path", "at", "size", "raw")
+    one, two = index.select("root", block.alias("one")), index.select("root", block.alias("two"))
+    pairs = one.join(two, "root").where("(one.class, one.s) <= (two.class, two.s) AND two.class - one.class <= 2")
+    # by number: rows are few and small, their work is not
+    tasks = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), index.sparkSession.sparkContext.defaultParallelism)
+    return pairs.repartition(tasks, "root", "one", "two").sortWithinPartitions("root", "one", "two")
+
+
+def _links_of_blocks(batches: Iterator[pa.RecordBatch], pairs: bool) -> Iterator[pa.RecordBatch]:
+    """As _links, over rows of _block_pairs."""
+    held: dict[tuple, tuple] = {}
+
+    def block(where: dict) -> tuple[list[int], list[int], list[np.ndarray]]:
+        store, place = files_of(where["path"])
+        with store.open_input_file(place) as f:
+            f.seek(where["at"])
+            raw = pa.decompress(f.read(where["size"]), where["raw"], codec="zstd", asbytes=True)
+        n = int(np.frombuffer(raw, np.int64, 1)[0])
+        nodes, copies, sizes = np.frombuffer(raw, np.int64, 3 * n, 8).reshape(3, n)
+        end = 8 + 24 * n + np.cumsum(sizes)
+        return nodes.tolist(), copies.tolist(), [_unpack(np.frombuffer(raw, np.uint8, int(k), int(e - k))) for k, e in zip(sizes, end, strict=True)]
+
+    for batch in batches:
+        for one, two in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist(), strict=True):
+            name = (one["path"], one["at"])
+            if name not in held:
+                held = {name: block(one)}
+            nodes, copies, sets = held[name]
+            if one == two:
+                yield from _owned(nodes, copies, [False] * len(nodes), sets, True, pairs)
+            else:
+                more = block(two)
+                yield from _owned(nodes + more[0], copies + more[1], [False] * len(nodes) + [True] * len(more[0]), sets + more[2], False, pairs)
+    trim()
 
 
 def _wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -372,31 +463,36 @@ _LINK = "a long, b long, n_shared long, a_copies long, b_copies long, na long, n
 _EDGE = "a long, b long, others long"
 
 
+def _owned(nodes: list[int], copies: list[int], second: list[bool], sets: list[np.ndarray], one: bool, pairs: bool) -> Iterator[pa.RecordBatch]:
+    """The links that a group owns, or a row for each of its nodes that has some. one: the group is one block or a whole component."""
+    ids, first = np.unique(np.array(nodes, np.int64), return_index=True)
+    if len(ids) < 2:
+        return
+    own = [sets[k] for k in first]
+    a, b, shared = _group_links(own)
+    side = np.array(second)[first]
+    # two blocks: links within one of them belong to that block's own group
+    mine = (side[a] != side[b]) | one
+    a, b, shared = a[mine], b[mine], shared[mine]
+    n, c = np.array([len(s) for s in own], np.int64), np.array(copies, np.int64)[first]
+    if not pairs:
+        others = np.zeros(len(ids), np.int64)
+        np.add.at(others, a, c[b])
+        np.add.at(others, b, c[a])
+        some = np.flatnonzero(others)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[roots(a, b, len(ids))[some]]), pa.array(others[some])], ["a", "b", "others"])
+        return
+    for at in range(0, len(a), 1 << 16):
+        x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[x], ids[y], shared[at : at + (1 << 16)], c[x], c[y], n[x], n[y])], [f.split()[0] for f in _LINK.split(", ")])
+
+
 def _links(batches: Iterator[pa.RecordBatch], pairs: bool) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group: the links that each group owns, or a row for each of its nodes that has some."""
+    """Rows sorted by group: what each group owns."""
     last, nodes, copies, second, sets = None, [], [], [], []
 
     def owned() -> Iterator[pa.RecordBatch]:
-        ids, first = np.unique(np.array(nodes, np.int64), return_index=True)
-        if len(ids) < 2:
-            return
-        own = [sets[k] for k in first]
-        a, b, shared = _group_links(own)
-        side = np.array(second)[first]
-        # two blocks: links within one of them belong to that block's own group
-        mine = (side[a] != side[b]) | (last[1:3] == last[3:5])
-        a, b, shared = a[mine], b[mine], shared[mine]
-        n, c = np.array([len(s) for s in own], np.int64), np.array(copies, np.int64)[first]
-        if not pairs:
-            others = np.zeros(len(ids), np.int64)
-            np.add.at(others, a, c[b])
-            np.add.at(others, b, c[a])
-            some = np.flatnonzero(others)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[roots(a, b, len(ids))[some]]), pa.array(others[some])], ["a", "b", "others"])
-            return
-        for at in range(0, len(a), 1 << 16):
-            x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[x], ids[y], shared[at : at + (1 << 16)], c[x], c[y], n[x], n[y])], [f.split()[0] for f in _LINK.split(", ")])
+        return _owned(nodes, copies, second, sets, last[1:3] == last[3:5], pairs)
 
     for batch in batches:
         groups = batch.column("group").flatten()
@@ -453,19 +549,30 @@ def ngram_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rough = components(_candidates(heads, boundary, least))
     members = written(rough.join(nodes, "node"), "members")
     sets = _wanted_sets(docs, members)
-    met = _grouped(members).join(sets, "node").repartition("group").sortWithinPartitions("group", "node")
+    placed = _placed(members)
+    folder = scratch(docs.sparkSession, "blocks")
+    ranges = files_of(folder) is not None
+    groups = _whole_groups(placed) if ranges else _whole_groups(placed).unionByName(_block_groups(placed))
+    met = groups.join(sets, "node").repartition("group").sortWithinPartitions("group", "node")
     met = met.select("group", "node", "copies", "second", "shingles")
-    links = written(met.mapInArrow(lambda b: _links(b, False), _EDGE), "links")
+    index = written(_stored_blocks(placed, sets, folder), "index") if ranges and not placed.where(F.col("all") > BLOCK).isEmpty() else None
+
+    def linked(pairs: bool) -> DataFrame:
+        schema = _LINK if pairs else _EDGE
+        near = met.mapInArrow(lambda b: _links(b, pairs), schema)
+        return near if index is None else near.unionByName(_block_pairs(index).mapInArrow(lambda b: _links_of_blocks(b, pairs), schema))
+
+    links = written(linked(False), "links")
     final = components(links).join(nodes.select("node", "doc_id"), "node")
     names = final.groupBy("root").agg(F.min("doc_id").alias("component"))
-    linked = final.join(names, "root").join(links.groupBy(F.col("a").alias("node")).agg(F.sum("others").alias("others")), "node").select("node", "component", "others")
-    named = nodes.select("node", "doc_id", "copies").join(linked, "node", "left").select("node", "copies", F.coalesce("component", "doc_id").alias("component"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    led = final.join(names, "root").join(links.groupBy(F.col("a").alias("node")).agg(F.sum("others").alias("others")), "node").select("node", "component", "others")
+    named = nodes.select("node", "doc_id", "copies").join(led, "node", "left").select("node", "copies", F.coalesce("component", "doc_id").alias("component"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     named = written(named, "named")
     # copies of one set may be a large share of all rows
     out = spread_join(every.select("doc_id", "n", "node"), named, "node", "copies", "left")
     rows = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "node")
     ids = members.select("node", "doc_id")
-    pairs = met.mapInArrow(lambda b: _links(b, True), _LINK).join(ids.withColumnsRenamed({"node": "a"}), "a").join(ids.withColumnsRenamed({"node": "b", "doc_id": "other_id"}), "b")
+    pairs = linked(True).join(ids.withColumnsRenamed({"node": "a"}), "a").join(ids.withColumnsRenamed({"node": "b", "doc_id": "other_id"}), "b")
     return rows, pairs.select("doc_id", "other_id", F.col("na").alias("n_shingles"), F.col("nb").alias("other_shingles"), "n_shared", F.col("a_copies").alias("copies"), F.col("b_copies").alias("other_copies"))
 
 

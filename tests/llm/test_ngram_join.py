@@ -72,6 +72,27 @@ def test_links_and_pairs(spark, monkeypatch):
     assert len(want) > 300 and sorted(got) == sorted(want)
 
 
+def test_large_component_is_stored_once(spark, monkeypatch):
+    """A component of many blocks takes disk in proportion to its sets, and both ways give the same."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(400)]
+    rows = [(k, edited(rng, base, 0.004)) for k in range(300)] + [(1000 + k, " ".join(f"o{rng.randrange(10**6)}" for _ in range(30))) for k in range(20)]
+    stored, met, result = [], [], {}
+    keep = ngram_join._stored_blocks
+    monkeypatch.setattr(ngram_join, "_stored_blocks", lambda *a: stored.append(keep(*a)) or stored[0])
+    whole = ngram_join._whole_groups
+    monkeypatch.setattr(ngram_join, "_whole_groups", lambda p: met.append(whole(p)) or met[-1])
+    df = spark.createDataFrame(rows, SCHEMA)
+    result["ranges"] = sorted(map(tuple, ngram_join.ngram_components(df).collect()))
+    sets = {brute.shingle_set(t) for _, t in rows[:300]}
+    assert len(sets) > 200 and met[0].count() == 0
+    assert sum(r.raw for r in stored[0].collect()) < sum(6 * len(s) + 24 + 8 for s in sets) + 8 * len(sets)
+    monkeypatch.setattr(ngram_join, "files_of", lambda path: None)
+    result["shuffle"] = sorted(map(tuple, ngram_join.ngram_components(df).collect()))
+    assert result["ranges"] == result["shuffle"] and [r[:3] for r in result["ranges"]] == sorted(brute.jaccard_components(rows))
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One"), (5, "one"), (6, "a b c d e"), (7, "A B C D E"), (8, "a b c d e"), (8, "a b c d e"), (9, "é ñ"), (10, "É ñ"), (11, "x " * 20000), (12, "x " * 300), (13, "a b c d"), (13, "q r s t")]
     compare(spark, rows)
