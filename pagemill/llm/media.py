@@ -20,15 +20,20 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import jpeg
+from .common import remove, scratch, table, written
 from .shingles import blocks, buffers
 
 GROUP_BYTES = 1 << 19
+#: Parts in which tensors are stored and read.
+ROUNDS = 8
 
 _MEDIA = "doc_id long, n_bytes long, media binary"
 _READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -109,7 +114,43 @@ def decode_media(media: DataFrame, tensors: bool = False) -> DataFrame:
     return media.mapInArrow(run, _READ + _TENSOR * tensors)
 
 
-def op10_media(spark, sf_dir: str) -> DataFrame:
-    from .common import table
+def tensor_features(stored: DataFrame) -> DataFrame:
+    """The columns of _READ, with the feature worked out from the stored tensors: size, and sums and sums of squares of R, G and B."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, off = buffers(batch.column("rgb"))
+            found = []
+            for k, (h, w) in enumerate(zip(batch.column("height").to_pylist(), batch.column("width").to_pylist(), strict=True)):
+                pixels = raw[off[k] : off[k + 1]].reshape(-1, 3)
+                sums = np.zeros((3, 2), np.int64)
+                for at in range(0, len(pixels), 1 << 20):
+                    part = pixels[at : at + (1 << 20)].astype(np.int64)
+                    sums += np.stack([part.sum(0), (part * part).sum(0)], 1)
+                found.append(f"{h}x{w}:" + ":".join(map(str, sums.ravel().tolist())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(found, pa.string())], [x.split()[0] for x in _READ.split(", ")])
+
+    names = [x.split()[0] for x in _READ.split(", ")][:-1]
+    return stored.select(*names, "height", "width", "rgb").mapInArrow(run, _READ)
+
+
+def media_features(docs: DataFrame) -> DataFrame:
+    """Media stored as a table of the shared folder and read back, RGB tensors of it stored as tables, features from those.
+
+    Tensors take more than the texts, so they are made, stored and read in ROUNDS parts; a part's table goes when its
+    features are written.
+    """
+    media = written(encode_media(docs).withColumn("_round", F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)).cast("int")), "media")
+    found = []
+    for k in range(ROUNDS):
+        names = [x.split()[0] for x in (_READ + _TENSOR).split(", ")]
+        part = decode_media(media.where(F.col("_round") == k).drop("_round"), tensors=True).select(*(c for c in names if c not in ("feature", "payload")))
+        path = scratch(docs.sparkSession, "tensors")
+        part.write.option("compression", "zstd").parquet(path)
+        found.append(written(tensor_features(docs.sparkSession.read.schema(part.schema).parquet(path)), "features"))
+        remove(docs.sparkSession, path)
+    return reduce(DataFrame.unionAll, found)
+
 
-    return decode_media(encode_media(table(spark, sf_dir, "documents")))
+def op10_media(spark, sf_dir: str) -> DataFrame:
+    return media_features(table(spark, sf_dir, "documents"))

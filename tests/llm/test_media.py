@@ -193,3 +193,16 @@ def test_media_table(spark):
 def test_other_files_are_refused():
     with pytest.raises((ValueError, IndexError)):
         jpeg.coefficients_of([b"\x89PNG\r\n\x1a\n" + b"\0" * 20])
+
+
+def test_features_come_from_stored_tensors(spark, monkeypatch):
+    """The query stores media and tensors, and what it returns is what the stored tensors say."""
+    kept = []
+    real = media.tensor_features
+    monkeypatch.setattr(media, "ROUNDS", 2)
+    monkeypatch.setattr(media, "tensor_features", lambda stored: kept.append((stored.inputFiles(), stored.count())) or real(stored))
+    rows = [(1, "abc"), (2, "x" * 5000), (2, "x" * 5000), (3, None), (4, "é" * 700), (None, "null id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, media.media_features(df).collect()), key=str)
+    assert got == sorted(map(tuple, media.decode_media(media.encode_media(df)).collect()), key=str)
+    assert sum(n for _, n in kept) == len(rows) and all("tensors-" in f for files, _ in kept for f in files)
