@@ -13,7 +13,11 @@ Sets are the distinct five-word shingles of whole texts; two link when
    link with them, post single shingles to inverted lists.  The boundary is
    the size at which estimated costs of subsets and of list scans are least.
 4. Light lists (at most LIGHT rows) give their pairs, counted over all lists; a
-   pair that links must share so many keys.  Heavy lists are sorted by size, and
+   pair that links must share so many keys.  They do so twice: first neighbours
+   alone, by size and node, whose counts join near copies already; then all
+   pairs that this left apart.  So a cluster of near copies takes rows in
+   proportion to its postings, not to the square of its members a posting, and
+   the components are those of all pairs.  Heavy lists are sorted by size, and
    neighbours that sizes let link are joined: L rows give L - 1 edges, never
    L * L, and every pair that may link is in one component.  Lists of common
    shingles are salted; the unbroken runs of their parts are joined where sizes
@@ -44,10 +48,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bits_of, few_large_tasks, has_bits, merged_tables, scratch, spread_join, table, trim, written
+from .common import bits_of, few_large_tasks, forget, has_bits, merged_tables, remove, scratch, shuffles_go, spread_join, table, trim, written
 from .components import components, roots
 from .shingles import HASH_BITS, MASK, blocks, buffers, mix, ordered_sets
 from .warc import files_of
@@ -99,7 +103,9 @@ def sketch(docs: DataFrame) -> np.ndarray:
 
     parts = merged_tables(few_large_tasks(docs.select("text"), 2).mapInArrow(gather, "piece int, counts binary"), merge, PIECES)
     out = np.zeros(CELLS, np.uint32)
-    for piece, counts in parts.collect():
+    with shuffles_go(docs.sparkSession):
+        found = parts.collect()
+    for piece, counts in found:
         out[piece * size : (piece + 1) * size] = np.frombuffer(zlib.decompress(counts), np.uint32)
     return out
 
@@ -185,7 +191,8 @@ def boundary_of(sizes: list[tuple[int, int, float]]) -> int:
 
 
 def _postings(nodes: DataFrame, boundary: int, least: np.ndarray) -> DataFrame:
-    """(key, n, node): subsets of two for small sets, single shingles for the rest; common keys carry a salt."""
+    """(key, n, node, and root if nodes have it): subsets of two for small sets, single shingles for the rest; common keys carry a salt."""
+    more = ["root"] if "root" in nodes.columns else []
 
     def salted(key: np.ndarray, lv: np.ndarray, node: np.ndarray) -> np.ndarray:
         parts = np.maximum(1, expected_count(lv, least) / LIST_ROWS).astype(np.uint64)
@@ -217,50 +224,56 @@ def _postings(nodes: DataFrame, boundary: int, least: np.ndarray) -> DataFrame:
                 keys.append(salted((mix(low * np.uint64(3) + mix(high)) & MASK).ravel() | _PAIR, np.minimum(ranks[a], ranks[b]).ravel(), node[row]))
                 rows.append(row)
             key, row = np.concatenate(keys), np.concatenate(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n[row].astype(np.int32)), pa.array(node[row])], ["key", "n", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n[row].astype(np.int32)), pa.array(node[row]), *(batch.column(c).take(pa.array(row)) for c in more)], ["key", "n", "node", *more])
         trim()
 
-    return nodes.select("n", "node", "head", "ranks").mapInArrow(run, "key long, n int, node long")
+    return nodes.select("n", "node", "head", "ranks", *more).mapInArrow(run, "key long, n int, node long" + ", root long" * len(more))
 
 
 def _lists(batches: Iterator[pa.RecordBatch], boundary: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and n, as lists: kind 0 the pairs (a, b) of a light list with their sizes and counts,
-    kind 1 the chain of a heavy one, kind 2 each unbroken run of a salted part's chain as (key, first node, least n, most n)."""
-    carry, inside = tuple(np.zeros(0, np.int64) for _ in range(3)), False
+    """Rows sorted by key, n and node, as lists: kind 0 pairs (a, b) of a light list with their sizes and counts,
+    kind 1 the chain of a heavy one, kind 2 each unbroken run of a salted part's chain as (key, first node, least n, most n).
+
+    Without roots the pairs are neighbours; with a fourth column, root, they are all pairs of unlike roots (0: none),
+    and of heavy lists nothing comes."""
+    carry, inside = None, False
 
     def rows(kind: int, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(na), pa.array(nb), pa.array(count)], ["kind", "a", "b", "na", "nb", "count"])
 
-    def settle(key: np.ndarray, n: np.ndarray, node: np.ndarray, inside: bool) -> Iterator[pa.RecordBatch]:
+    def settle(key: np.ndarray, n: np.ndarray, node: np.ndarray, root: np.ndarray | None, inside: bool) -> Iterator[pa.RecordBatch]:
         """inside: the first list goes on a chain that began before."""
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(start, len(key)))
         salted = (key[start] >> HASH_BITS) & 0x3FFF > 0
         heavy = (size > LIGHT) | salted
         heavy[0] |= inside
-        own = np.repeat(heavy, size)
-        link = own[1:] & (key[1:] == key[:-1]) & (4 * n[:-1] >= 3 * n[1:])
-        a, b = node[:-1][link], node[1:][link]
-        if len(a):
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            none = np.zeros(len(both), np.int64)
-            yield rows(1, both[:, 0], both[:, 1], none, none, none)
-        # a run that goes on in the next batch comes as two that share a size
-        head = np.flatnonzero(np.concatenate([[True], ~link]))
-        end = np.append(head[1:], len(key)) - 1
-        of_salted = np.repeat(salted, size)[head]
-        head, end = head[of_salted], end[of_salted]
-        if len(head):
-            yield rows(2, key[head] & ~np.int64(0x3FFF << HASH_BITS), node[head], n[head], n[end], np.zeros(len(head), np.int64))
+        if root is None:
+            own = np.repeat(heavy, size)
+            link = own[1:] & (key[1:] == key[:-1]) & (4 * n[:-1] >= 3 * n[1:])
+            a, b = node[:-1][link], node[1:][link]
+            if len(a):
+                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                none = np.zeros(len(both), np.int64)
+                yield rows(1, both[:, 0], both[:, 1], none, none, none)
+            # a run that goes on in the next batch comes as two that share a size
+            head = np.flatnonzero(np.concatenate([[True], ~link]))
+            end = np.append(head[1:], len(key)) - 1
+            of_salted = np.repeat(salted, size)[head]
+            head, end = head[of_salted], end[of_salted]
+            if len(head):
+                yield rows(2, key[head] & ~np.int64(0x3FFF << HASH_BITS), node[head], n[head], n[end], np.zeros(len(head), np.int64))
         parts = []
         ids, code = np.unique(node, return_inverse=True)
         for length in np.unique(size[~heavy]):
             if length > 1:
                 first = start[~heavy & (size == length)]
-                i, j = np.triu_indices(int(length), 1)
+                i, j = (np.arange(length - 1), np.arange(1, length)) if root is None else np.triu_indices(int(length), 1)
                 x, y = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
                 # two small sets meet in subsets of two
                 good = (4 * n[x] >= 3 * n[y]) & ((n[y] > boundary) | (key[x] & (1 << 62) != 0)) & (code[x] != code[y])
+                if root is not None:
+                    good &= (root[x] != root[y]) | (root[x] == 0)
                 parts.append(np.stack([x[good], y[good]], 1))
         if parts and sum(map(len, parts)):
             x, y = np.concatenate(parts).T
@@ -272,38 +285,55 @@ def _lists(batches: Iterator[pa.RecordBatch], boundary: int) -> Iterator[pa.Reco
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, n, node = (np.concatenate([c, batch.column(k).to_numpy().astype(np.int64)]) for k, c in enumerate(carry))
+        now = [c.to_numpy().astype(np.int64) for c in batch.columns]
+        key, n, node, *root = now if carry is None else [np.concatenate(x) for x in zip(carry, now, strict=True)]
         last = int(np.searchsorted(key == key[-1], True)) if key[0] != key[-1] else 0
         long = len(key) - last > LIGHT or (inside and last == 0) or (int(key[-1]) >> HASH_BITS) & 0x3FFF > 0
         until = len(key) if long else last
         if until:
-            yield from settle(key[:until], n[:until], node[:until], inside)
+            yield from settle(key[:until], n[:until], node[:until], root[0][:until] if root else None, inside)
             inside = long
         keep = len(key) - 1 if long else last
-        carry = (key[keep:], n[keep:], node[keep:])
-    if len(carry[0]) and not inside:
-        yield from settle(*carry, False)
+        carry = [x[keep:] for x in (key, n, node, *root)]
+    if carry and len(carry[0]) and not inside:
+        yield from settle(*carry, *[None] * (4 - len(carry)), False)
 
 
 def _candidates(nodes: DataFrame, boundary: int, least: np.ndarray) -> DataFrame:
-    """Edges (a, b) whose components hold every pair that may link.
+    """(node, root) of the components of edges that hold every pair that may link.
 
     A pair that links shares at least need(n + m) - need(max) + 1 keys of the two prefixes;
     if all its lists are light they were all counted, else a chain joins it.
     """
-    rows = _postings(nodes, boundary, least).repartition("key").sortWithinPartitions("key", "n")
-    found = written(rows.mapInArrow(lambda b: _lists(b, boundary), "kind int, a long, b long, na long, nb long, count long"), "lists")
-    pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("count").alias("count"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    most = F.greatest("na", "nb")
-    fewest = F.expr("(3 * (na + nb) + 6) div 7") - F.expr("(3 * greatest(na, nb) + 3) div 4") + 1
-    light = pairs.where((most <= boundary) | (F.col("count") >= fewest)).select("a", "b")
+
+    def lists(nodes: DataFrame) -> DataFrame:
+        rows = _postings(nodes, boundary, least).repartition("key").sortWithinPartitions("key", "n", "node")
+        return written(rows.mapInArrow(lambda b: _lists(b, boundary), "kind int, a long, b long, na long, nb long, count long"), "lists")
+
+    def light(found: DataFrame) -> DataFrame:
+        pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("count").alias("count"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+        most = F.greatest("na", "nb")
+        fewest = F.expr("(3 * (na + nb) + 6) div 7") - F.expr("(3 * greatest(na, nb) + 3) div 4") + 1
+        return pairs.where((most <= boundary) | (F.col("count") >= fewest)).select("a", "b")
+
+    found = lists(nodes)
     # runs of all parts of a list in order of their least size: one goes on where that may link with the most before it,
     # as in a list without a salt; a part has no more runs than sizes have steps of 4 / 3
     runs = found.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("na").alias("low"), F.col("nb").alias("high")).distinct()
     order = Window.partitionBy("key").orderBy("low", "node", "high")
     before = runs.select("low", F.col("node").alias("b"), F.lag("node").over(order).alias("a"), F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("most"))
     joined = before.where("4 * most >= 3 * low AND a <> b").select("a", "b")
-    return light.unionByName(found.where("kind = 1").select("a", "b").distinct()).unionByName(joined)
+    near = components(light(found).unionByName(found.where("kind = 1").select("a", "b").distinct()).unionByName(joined))
+    forget(found)
+    # a pair within a component adds nothing to it; the counts of others are those of all lists
+    flagged = nodes.withColumn("_near", _in_filter(_filter(near, "node"), nodes.sparkSession)(_bit(F.col("node"))))
+    rooted = flagged.where("_near").drop("_near").join(near, "node", "left").withColumn("root", F.coalesce("root", F.lit(0).cast("long")))
+    found = lists(rooted.unionByName(flagged.where("NOT _near").drop("_near").withColumn("root", F.lit(0).cast("long"))))
+    more = written(light(found), "more")
+    forget(found)
+    rough = near if more.isEmpty() else components(more.unionByName(near.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    forget(more, *[near] * (rough is not near))
+    return rough
 
 
 def _placed(members: DataFrame) -> DataFrame:
@@ -415,11 +445,32 @@ def _links_of_blocks(batches: Iterator[pa.RecordBatch], pairs: bool) -> Iterator
     trim()
 
 
+def _filter(ids: DataFrame, key: str) -> np.ndarray:
+    """FILTER_BITS bits; those that stand for the column's values are set."""
+    bit = _bit(F.col(key))
+    words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 AS int))")).alias("bits"))
+    with shuffles_go(ids.sparkSession):
+        return bits_of(words.collect(), FILTER_BITS)
+
+
+def _bit(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+
+def _in_filter(filled: np.ndarray, spark: SparkSession):
+    """A function of a column of bits: whether they are set."""
+    shared = spark.sparkContext.broadcast(filled)
+
+    @F.arrow_udf("boolean")
+    def held(bits: pa.Array) -> pa.Array:
+        return pa.array(has_bits(shared.value, bits.to_numpy(zero_copy_only=False)))
+
+    return held
+
+
 def _wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, shingles) of the documents in wanted (doc_id); a filter of FILTER_BITS bits may let others through."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 AS int))")).alias("bits")).collect()
-    shared = docs.sparkSession.sparkContext.broadcast(bits_of(words, FILTER_BITS))
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(wanted, "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.zeros(1, np.uint8)
@@ -430,7 +481,7 @@ def _wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(digest), _binary(_pack(h), 6 * n)], ["node", "shingles"])
         trim()
 
-    return docs.select("text", bit.alias("bit")).mapInArrow(run, "node long, shingles binary")
+    return docs.select("text", _bit(F.col("doc_id")).alias("bit")).mapInArrow(run, "node long, shingles binary")
 
 
 def _group_links(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -524,8 +575,8 @@ def _node_of(text: str) -> Column:
     return node(text)
 
 
-def ngram_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, pairs) of docs (doc_id, text).
+def ngram_join(docs: DataFrame, with_pairs: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """(rows, pairs) of docs (doc_id, text).  Tables go as soon as the next ones stand; those of pairs only without with_pairs.
 
     rows: doc_id, n_shingles, component_id, copies (documents with the same set), n_links (other documents that this one
     links with, those of its own set among them) and node (its set) for every row of docs.
@@ -536,18 +587,21 @@ def ngram_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     level, least = levels(sketch(docs))
     shared = docs.sparkSession.sparkContext.broadcast(level)
-    every = written(_described(docs, shared, least), "sets")
+    sets = written(_described(docs, shared, least), "sets")
+    every = written(sets.select("doc_id", "n", "node"), "rows")
     nodes = every.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     nodes = written(nodes, "nodes")
     # one row for each node: that of its smallest doc_id
-    heads = every.where("n >= 3").join(nodes.select("node", "doc_id"), ["node", "doc_id"], "left_semi")
+    heads = sets.where("n >= 3").join(nodes.select("node", "doc_id"), ["node", "doc_id"], "left_semi")
     # sets of which no row has an id
-    unnamed = every.where("n >= 3 AND doc_id IS NULL").join(nodes.where("doc_id IS NULL").select("node"), "node", "left_semi").dropDuplicates(["node"])
-    heads = heads.unionByName(unnamed)
-    sizes = every.where(F.col("n").between(3, 2 * MOST_SMALL)).groupBy("n").agg(F.count(F.lit(1)), F.sum("scan")).collect()
+    unnamed = sets.where("n >= 3 AND doc_id IS NULL").join(nodes.where("doc_id IS NULL").select("node"), "node", "left_semi").dropDuplicates(["node"])
+    heads = written(heads.unionByName(unnamed).select("n", "node", "head", "ranks"), "heads")
+    sizes = sets.where(F.col("n").between(3, 2 * MOST_SMALL)).groupBy("n").agg(F.count(F.lit(1)), F.sum("scan")).collect()
     boundary = boundary_of([tuple(r) for r in sizes])
-    rough = components(_candidates(heads, boundary, least))
+    forget(sets)
+    rough = _candidates(heads, boundary, least)
     members = written(rough.join(nodes, "node"), "members")
+    forget(heads, rough)
     sets = _wanted_sets(docs, members)
     placed = _placed(members)
     folder = scratch(docs.sparkSession, "blocks")
@@ -563,14 +617,21 @@ def ngram_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return near if index is None else near.unionByName(_block_pairs(index).mapInArrow(lambda b: _links_of_blocks(b, pairs), schema))
 
     links = written(linked(False), "links")
-    final = components(links).join(nodes.select("node", "doc_id"), "node")
+    if not with_pairs and index is not None:
+        forget(index)
+        remove(docs.sparkSession, folder)
+    roots_of = components(links)
+    final = roots_of.join(nodes.select("node", "doc_id"), "node")
     names = final.groupBy("root").agg(F.min("doc_id").alias("component"))
     led = final.join(names, "root").join(links.groupBy(F.col("a").alias("node")).agg(F.sum("others").alias("others")), "node").select("node", "component", "others")
     named = nodes.select("node", "doc_id", "copies").join(led, "node", "left").select("node", "copies", F.coalesce("component", "doc_id").alias("component"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     named = written(named, "named")
+    forget(nodes, links, roots_of)
     # copies of one set may be a large share of all rows
     out = spread_join(every.select("doc_id", "n", "node"), named, "node", "copies", "left")
     rows = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "node")
+    if not with_pairs:
+        return rows, None
     ids = members.select("node", "doc_id")
     pairs = linked(True).join(ids.withColumnsRenamed({"node": "a"}), "a").join(ids.withColumnsRenamed({"node": "b", "doc_id": "other_id"}), "b")
     return rows, pairs.select("doc_id", "other_id", F.col("na").alias("n_shingles"), F.col("nb").alias("other_shingles"), "n_shared", F.col("a_copies").alias("copies"), F.col("b_copies").alias("other_copies"))
@@ -578,7 +639,7 @@ def ngram_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def ngram_components(docs: DataFrame) -> DataFrame:
     """The rows of ngram_join without their node."""
-    return ngram_join(docs)[0].drop("node")
+    return ngram_join(docs, with_pairs=False)[0].drop("node")
 
 
 def ngram_pairs(docs: DataFrame) -> DataFrame:
@@ -592,19 +653,23 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows that repeat the doc_id that stays are that document and stay with it; of unlike texts that share an id only those
     go whose own component has another name.
     """
-    rows = ngram_join(docs)[0].where("doc_id IS NOT NULL")
+    rows = ngram_join(docs, with_pairs=False)[0].where("doc_id IS NOT NULL")
     goes = (F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))
     # the ids of the rows that go are few; only rows that have one may be dropped
     ids = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_and(goes).alias("_all"), F.bool_or(goes).alias("_some")).where("_some")
     ids = written(ids, "gone")
-    own = docs["doc_id"].cast("long")
-    kept = docs.join(ids, own == ids["_id"], "left_anti")
+    own = F.col("doc_id").cast("long")
+    # the join takes rows that a filter of these ids lets through: other texts cross no shuffle
+    flag = "_" + uuid.uuid4().hex
+    flagged = docs.withColumn(flag, _in_filter(_filter(ids, "_id"), docs.sparkSession)(_bit(own)))
+    rest, hit = flagged.where(~F.col(flag)).drop(flag), flagged.where(F.col(flag)).drop(flag)
+    kept = rest.unionByName(hit.join(ids, own == ids["_id"], "left_anti"))
     # ids of which some rows go and some stay: which, their sets tell
     mixed = ids.where("NOT _all").select("_id")
     if mixed.isEmpty():
         return kept
     gone = rows.where(goes).select(F.col("doc_id").alias("_gone"), F.col("node").alias("_set")).distinct()
-    split = docs.join(mixed, own == mixed["_id"], "left_semi").withColumn("_node", _node_of("text"))
+    split = hit.join(mixed, own == mixed["_id"], "left_semi").withColumn("_node", _node_of("text"))
     return kept.unionByName(split.join(gone, (F.col("doc_id").cast("long") == gone["_gone"]) & (F.col("_node") == gone["_set"]), "left_anti").drop("_node"))
 
 

@@ -134,3 +134,56 @@ def test_threshold_is_met_exactly(spark):
 def test_boundary_is_a_cost(n):
     cheap = ngram_join.boundary_of([(n, 100, 1e9)])
     assert cheap >= n and ngram_join.boundary_of([(n, 100, 1.0)]) < n
+
+
+def test_near_copies_give_rows_in_proportion(spark, monkeypatch):
+    """Clusters of as many near copies as a light list holds: rows of lists by the postings, not by the pairs of each; tables
+    of a step that is over are gone."""
+    import os
+
+    from pagemill.llm import common
+
+    rng = random.Random(6)
+    rows = []
+    for c in range(10):
+        base = [f"c{c}w{k}" for k in range(100)]
+        rows += [(100 * c + k, edited(rng, base, 0.008)) for k in range(30)]
+    made, keep = [], ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, name, **o: made.append((name, (out := keep(df, name, **o)).count())) or out)
+    own = os.path.dirname(common.scratch(spark, "x")).removeprefix("file:")
+    there = set(os.listdir(own))
+    compare(spark, rows)
+    sets = {brute.shingle_set(t) for _, t in rows}
+    assert sum(n for name, n in made if name == "lists") < sum(len(s) - ngram_join.need(len(s)) + 1 for s in sets)
+    assert {f.split("-")[0] for f in set(os.listdir(own)) - there} <= {"rows", "members", "named"}
+
+
+def test_texts_that_stay_cross_no_shuffle(spark):
+    """Of the documents only those that a filter of the ids that go lets through are joined."""
+    rows = [(k, f"text {k} of five words {k}", "z") for k in range(60)] + [(100 + k, f"text {k} of five words {k}", "z") for k in range(6)]
+    df = spark.createDataFrame(rows, SCHEMA + ", score string").localCheckpoint()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ngram_join.one_of_each(df)
+        assert sorted(r.doc_id for r in out.collect()) == list(range(60)) and out.columns == df.columns
+        assert out._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() == "Union"
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_shuffles_of_stored_tables_go(spark):
+    import time
+
+    from pagemill.llm import common
+
+    def files():
+        return sum("shuffle_" in str(f) for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+
+    there = files()
+    df = spark.range(1000).repartition(7, "id")
+    out = common.written(df, "x")
+    until = time.time() + 20
+    while files() > there and time.time() < until:
+        time.sleep(0.2)
+    assert files() <= there and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+    assert out.count() == 1000
