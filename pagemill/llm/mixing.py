@@ -35,7 +35,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spread_join, table, written
+from .common import forget, spread_join, table, written
 
 LEVELS = ("domain", "lang", "source")
 #: Of the tokens there are; and how often a row may come at most.
@@ -96,7 +96,8 @@ def budgets(leaves: DataFrame, levels: tuple[str, ...], share: float, weights: d
         nodes = leaves.groupBy(*names).agg((F.sum("tokens") * float(epochs)).alias("capacity"))
         nodes = nodes.withColumn("weight", _weight(names, weights))
         nodes = nodes.withColumn("budget", F.lit(float(min(share, epochs) * total))) if above is None else nodes.join(above, known)
-        above = shared_out(nodes, known, names).select(*names, F.col("part").alias("budget"))
+        # a table a level: the driver plans one level at a time
+        above = written(shared_out(nodes, known, names).select(*names, F.col("part").alias("budget")), "level")
         known = names
     return leaves.join(above.withColumnRenamed("budget", "goal"), list(levels))
 
@@ -130,15 +131,17 @@ def mixed(docs: DataFrame, levels: tuple[str, ...] = LEVELS, weights: dict[tuple
     plan = goal.withColumn("full", full.cast("int")).withColumn("rest", F.floor(F.col("goal") - F.col("full") * F.col("tokens")).cast("long"))
     plan = written(plan.select(F.array(*levels).alias("leaf"), "full", "rest", "rows"), "plan")
     # a leaf may hold a third of all rows: its row of the plan goes to them
-    marked = spread_join(rows.withColumn("leaf", F.array(*levels)), plan, "leaf", "rows").drop("rows")
+    marked = written(spread_join(rows.withColumn("leaf", F.array(*levels)), plan, "leaf", "rows").drop("rows"), "marked")
+    forget(rows)
     every = _copied(marked.where("full > 0"), "copies").select("doc_id", *levels, F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("epoch"), "n_tokens")
 
     partial = marked.where("rest > 0").withColumn("h", order_of(seed, F.col("full"), F.col("doc_id"))).withColumn("weight", F.col("n_tokens") * F.col("copies"))
     partial = partial.withColumn("d1", F.shiftright("h", 50)).withColumn("d2", F.shiftright("h", 40).bitwiseAND(F.lit(1023)))
-    one = written(_cut(partial, levels, "d1", F.lit(0).cast("long")).select(F.array(*levels).alias("leaf"), F.col("cut").alias("c1"), F.col("before").alias("b1")), "cut").join(plan.select("leaf", "rows"), "leaf")
+    one = written(_cut(partial, levels, "d1", F.lit(0).cast("long")).select(F.array(*levels).alias("leaf"), F.col("cut").alias("c1"), F.col("before").alias("b1")).join(plan.select("leaf", "rows"), "leaf"), "cut")
     under = spread_join(partial, one, "leaf", "rows").drop("rows")
-    two = written(_cut(under.where("d1 = c1"), levels, "d2", F.col("b1")).select(F.array(*levels).alias("leaf"), F.col("cut").alias("c2"), F.col("before").alias("b2")), "cut").join(one, "leaf")
-    placed = spread_join(partial, two, "leaf", "rows")
+    two = written(_cut(under.where("d1 = c1"), levels, "d2", F.col("b1")).select(F.array(*levels).alias("leaf"), F.col("cut").alias("c2"), F.col("before").alias("b2")).join(one, "leaf"), "cut")
+    # stored, as the rows before the cut and those at it are two reads of it
+    placed = written(spread_join(partial, two, "leaf", "rows").drop("leaf", "rows"), "placed")
     before = F.col("b2") + F.sum("weight").over(Window.partitionBy(*levels).orderBy("h", "doc_id", "n_tokens")) - F.col("weight")
     room = F.when(F.col("n_tokens") > 0, F.floor((F.col("rest") - F.col("before")) / F.col("n_tokens"))).otherwise(F.when(F.col("before") <= F.col("rest"), F.col("copies")).otherwise(0))
     last = placed.where("d1 = c1 AND d2 = c2").withColumn("before", before).withColumn("copies", F.least(F.col("copies"), room))
