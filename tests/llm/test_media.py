@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagemill.llm import jpeg, media
 
@@ -206,3 +207,15 @@ def test_features_come_from_stored_tensors(spark, monkeypatch):
     got = sorted(map(tuple, media.media_features(df).collect()), key=str)
     assert got == sorted(map(tuple, media.decode_media(media.encode_media(df)).collect()), key=str)
     assert sum(n for _, n in kept) == len(rows) and all("tensors-" in f for files, _ in kept for f in files)
+
+
+def test_few_tensors_at_once_and_media_read_once(spark, monkeypatch):
+    """A part's tensors are a small share of all, and its media are files of its own."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(k, "".join(map(chr, rng.integers(33, 126, 400)))) for k in range(640)], "doc_id long, text string")
+    rows, files = [], []
+    features, decode = media.tensor_features, media.decode_media
+    monkeypatch.setattr(media, "tensor_features", lambda stored: rows.append(stored.count()) or features(stored))
+    monkeypatch.setattr(media, "decode_media", lambda m, tensors=False: files.append({r[0] for r in m.select(F.input_file_name()).distinct().collect()}) or decode(m, tensors))
+    assert media.media_features(df).count() == 640 == sum(rows) and max(rows) <= 64
+    assert len(set.union(*files)) == sum(map(len, files))
